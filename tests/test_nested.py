@@ -1,6 +1,7 @@
 """Nested records against a plain recursive reader, and the defined dirty cases."""
 
 import json
+import re
 
 from viewmill.operators.nested import list_occurrences, shred
 from viewmill.session import table
@@ -40,7 +41,9 @@ def plain_reader(record_id, text):
         for j, s in enumerate(level(r.get("steps")) if isinstance(r, dict) else []):
             if isinstance(s, dict):
                 seen = s.get("visited_view_ids")
-                for k, e in enumerate(level(seen if seen is not None else s.get("visitedViewIds"))):
+                seen = seen if seen is not None else s.get("visitedViewIds")
+                plain = isinstance(seen, str) and not isinstance(load(seen), list)
+                for k, e in enumerate(re.split("[,; ]", seen) if plain else level(seen)):
                     if e not in (None, ""):
                         yield record_id, i, j, k, int(float(e))
 
@@ -70,12 +73,13 @@ def test_dirty_cases(spark):
         (9, json.dumps({"rollouts": {"10": None, "9": {"steps": {"2": {"visitedViewIds": "[7]"}, "1": None}}}})),
         (10, json.dumps({"rollouts": {"steps": {"step_id": 1, "visited_view_ids": []}}})),
         (11, '{"rollouts": [{"steps": [{"covered_ratio": NaN, "visited_view_ids": [1, 2]}]}]}'),
+        (12, '{"rollouts": [{"steps": [{"visited_view_ids": "4,,6"}]}]}'),
         (1, json.dumps(doc)),
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in cases], "record_id long, raw_json string, root_id string")
     tables = shred(df)
     whole = [(0, 0, 0, 3), (0, 0, 2, 4), (0, 0, 3, 5)]
-    expected = [(i, *x) for i in (1, 2, 3, 4) for x in whole] + [(9, 0, 1, 0, 7), (11, 0, 0, 0, 1), (11, 0, 0, 1, 2)]
+    expected = [(i, *x) for i in (1, 2, 3, 4) for x in whole] + [(9, 0, 1, 0, 7), (11, 0, 0, 0, 1), (11, 0, 0, 1, 2), (12, 0, 0, 0, 4), (12, 0, 0, 2, 6)]
     assert rows(list_occurrences(tables)) == sorted(expected)
     roots = {r.record_id: r.root_id for r in tables["occurrences"].collect()}
     assert roots[1] == roots[2] == roots[3] == roots[4] and roots[1] != roots[9]

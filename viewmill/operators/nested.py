@@ -81,12 +81,12 @@ def snake(key: str) -> str:
     return f"lower(regexp_replace({key}, '(?<=[a-z0-9])([A-Z])', '_$1'))"
 
 
-def canonical_scalar(v: str) -> str:
-    """SQL for one spelling of a value: 12, 12.0 and "12" are the same number, null and "" are nothing."""
-    text = f"trim(try_variant_get({v}, '$', 'string'))"
+def canonical_text(text: str) -> str:
+    """SQL for one spelling of a scalar's text: 12, 12.0 and "12" are the same number, "" is nothing."""
+    text = f"trim({text})"
     number = f"try_cast({text} as double)"
     return (
-        f"case when {v} is null or is_variant_null({v}) or {text} = '' then null "
+        f"case when {text} = '' or lower({text}) in ('null', 'none') then null "
         f"when {text} rlike '^[-+]?[0-9]{{1,15}}$' then cast(cast({text} as bigint) as string) "
         f"when {text} rlike '^[-+.0-9eE]+$' and {number} = floor({number}) and abs({number}) < 1e15 "
         f"then cast(cast({number} as bigint) as string) "
@@ -95,6 +95,24 @@ def canonical_scalar(v: str) -> str:
     )
 
 
+def canonical_scalar(v: str) -> str:
+    """SQL for one spelling of a variant's value; a JSON null is nothing."""
+    return f"case when is_variant_null({v}) then null else {canonical_text(f"try_variant_get({v}, '$', 'string')")} end"
+
+
+def elements(v: str) -> str:
+    """SQL for the elements of a list as array<string>, also of one written as an object or as plain text."""
+    text = f"regexp_replace(trim(try_variant_get({v}, '$', 'string')), '^[\\\\[(]\\\\s*|\\\\s*[\\\\])]$', '')"
+    parts = f"split({text}, case when {text} rlike '[,;|]' then '[,;|]' else '\\\\s+' end)"
+    return (
+        f"case when {v} is null or is_variant_null({v}) then null "
+        f"when {as_array(v)} is not null then transform({as_array(v)}, x -> {canonical_scalar('x')}) "
+        f"when {as_object(v)} is not null then transform({listed(v)}, x -> {canonical_scalar('x')}) "
+        f"when {text} = '' then cast(array() as array<string>) "
+        f"else transform({parts}, x -> {canonical_text('x')}) end"
+    )
+
+
 def fields_of(v: str) -> str:
     """SQL: the fields of object ``v`` under snake-case names; of two spellings the first non-null counts."""
     obj = as_object(v)
@@ -165,20 +183,10 @@ def exploded_steps(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
         "rollout_attrs",
         "step_pos",
         F.expr(attributes("f", LIST_FIELDS)).alias("step_attrs"),
-        *(
-            F.expr(f"transform(case when {as_array(n)} is not null then {as_array(n)} "
-                   f"when {n} is null or is_variant_null({n}) then null else {listed_or_scalar(n)} end, "
-                   f"x -> {canonical_scalar('x')})").alias(n)
-            for n in LIST_FIELDS
-        ),
+        *(F.expr(elements(n)).alias(n) for n in LIST_FIELDS),
     )
 
 
-def listed_or_scalar(v: str) -> str:
-    """SQL: a list level that isn't an array: numeric keys in order, or a single value as a list of one."""
-    return f"case when {as_object(v)} is not null then {listed(v)} when {canonical_scalar(v)} is null then null else array({v}) end"
-
-
 def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "raw_json") -> dict[str, DataFrame]:
     """The four tables of the module's docstring.
 
@@ -231,7 +239,7 @@ def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "raw_js
     list_links = step_lists.select(
         F.col("step_id").alias("parent_id"), F.col("l.field").alias("field"), F.lit(0).alias("ordinal"), F.col("l.child_id").alias("child_id")
     ).distinct()
-    elements = (
+    values = (
         step_lists.groupBy(F.col("l.child_id").alias("list_id"))
         .agg(F.first("l.elems").alias("elems"))
         .select("list_id", F.posexplode("elems").alias("elem_pos", "elem"))
@@ -242,7 +250,7 @@ def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "raw_js
         .unionByName(objects(rollouts, "rollout_id", "rollout", "rollout_attrs"))
         .unionByName(objects(steps, "step_id", "step", "step_attrs")),
         "bridge": links(files, "root_id", "rollouts").unionByName(links(rollouts, "rollout_id", "steps")).unionByName(list_links),
-        "lists": elements,
+        "lists": values,
     }
 
 
