@@ -70,3 +70,12 @@ def clean_key(c: str | Column) -> Column:
     """A uid as the tables mean it: without outer white space, in lower case; empty becomes null."""
     trimmed = F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^\s+|\s+$", ""))
     return F.when(trimmed != "", trimmed)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores where it has fewer partitions than cores; else unchanged.
+
+    For CPU-heavy work on texts: a small compressed file is one split, a large table has plenty.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
