@@ -19,6 +19,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from viewmill.session import broadcast_if_small, clean_key, written
 
@@ -26,14 +27,14 @@ DIGIT = 16
 FLIP = 0x7FFFFFFFFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordered_bits(x: pd.Series) -> pd.Series:
     """The double's bits as a long of the same order."""
     bits = (x.to_numpy(dtype="float64") + 0.0).view("int64")
     return pd.Series(bits ^ ((bits >> 63) & FLIP))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def from_ordered_bits(k: pd.Series) -> pd.Series:
     bits = k.to_numpy(dtype="int64")
     return pd.Series((bits ^ ((bits >> 63) & FLIP)).view("float64"))

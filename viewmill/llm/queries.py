@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewmill.llm.bpe import decode_ids, encode_texts
+from viewmill.llm.leak import decontaminated, leaks
 from viewmill.llm.overlap import cross_split_pairs
 from viewmill.llm.percentiles import digit_parts, ordered_bits, saturation_percentiles, saturation_values
 from viewmill.llm.quota import categorised, draw, quotas, strata
+from viewmill.llm.toxicity import LIMIT, document_scores
 from viewmill.llm.topn import top_candidates
 from viewmill.session import table, written
 
@@ -73,6 +76,57 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(objects, quotas(lines))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Does every text come back from its ids? Documents, tokens and failures for each source."""
+    docs = table(spark, sf_dir, "documents")
+    ids = written(p7_ids(spark, sf_dir), "ids")
+    back = decode_ids(ids).withColumnRenamed("text", "back")
+    both = docs.select("doc_id", "source", "text").join(ids, "doc_id").join(back, "doc_id")
+    same = F.coalesce("text", F.lit("")) == F.col("back")
+    return both.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.count_if(~same).alias("n_failures")
+    )
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of each suite and the documents that hold them, by source."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    found = leaks(docs, items).select("doc_id", "item_id").distinct()
+    named = found.join(items.select("item_id", "suite", "item_split"), "item_id").join(docs.select("doc_id", "source"), "doc_id")
+    return named.groupBy("suite", "item_split", "source").agg(
+        F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_docs")
+    )
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = document_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mod_samples"))
+    return scores.where(F.col("score") > LIMIT).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored documents and the share above the limit for each source."""
+    docs = table(spark, sf_dir, "documents")
+    scores = document_scores(docs, table(spark, sf_dir, "mod_samples"))
+    both = docs.select("doc_id", "source").distinct().join(scores, "doc_id")
+    found = F.count_if(F.col("score") > LIMIT)
+    return both.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), found.alias("n_found"), F.round(found / F.count(F.lit(1)), 6).alias("rate")
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -83,6 +137,13 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_quotas": p5_quotas,
     "p5_sample": p5_sample,
+    "p7_ids": p7_ids,
+    "p7_roundtrip": p7_roundtrip,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_cleaned": p8_cleaned,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
 }
 
 _TRIM = r"nullif(lower(regexp_replace({}, '^\s+|\s+$', '', 'g')), '')"
