@@ -154,10 +154,10 @@ WITH o AS (
     row_number() OVER (PARTITION BY batch_id, coalesce({_TRIM.format('uid')}, 'row ' || row_id) ORDER BY run_day, row_id) AS k
   FROM saturation),
 v AS (
-  SELECT batch_id, 'a_fit' AS metric, a_fit AS value FROM o WHERE k = 1 AND a_fit BETWEEN 0 AND 1 AND NOT isnan(a_fit)
+  SELECT batch_id, 'a_fit' AS metric, a_fit AS value FROM o WHERE k = 1 AND a_fit BETWEEN 0 AND 1 AND isfinite(a_fit)
   UNION ALL SELECT batch_id, 'b_discrete', b_discrete::DOUBLE FROM o WHERE k = 1 AND b_discrete BETWEEN 1 AND 10000
   UNION ALL SELECT batch_id, 'curve_raw', y FROM (SELECT batch_id, unnest(curve_raw).y AS y FROM o WHERE k = 1)
-    WHERE y >= 0 AND NOT isnan(y)),
+    WHERE y >= 0 AND isfinite(y)),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY batch_id, metric ORDER BY value) AS rn, count(*) OVER (PARTITION BY batch_id, metric) AS n_values
   FROM v),
@@ -180,7 +180,7 @@ x AS (
       AND abs(e.gt_surface_voxel_count - t.gt_surface_voxel_count) <= 0.001 * greatest(abs(e.gt_surface_voxel_count), abs(t.gt_surface_voxel_count))
       AND abs(e.area - t.area) <= 0.001 * greatest(abs(e.area), abs(t.area))
       AND abs(e.volume - t.volume) <= 0.001 * greatest(abs(e.volume), abs(t.volume))
-      AND NOT isnan(e.self_occlusion_attribute + e.area + e.volume + t.self_occlusion_attribute + t.area + t.volume))))
+      AND isfinite(e.self_occlusion_attribute + e.area + e.volume + t.self_occlusion_attribute + t.area + t.volume))))
 """
 
 _CATEGORY = r"nullif(regexp_replace(lower(regexp_replace({}, '^\s+|\s+$', '', 'g')), '[\s-]', '_', 'g'), '')"
