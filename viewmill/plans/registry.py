@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewmill.plans import records
+from viewmill.plans import curation, records
 
-MODULES: tuple[ModuleType, ...] = (records,)
+MODULES: tuple[ModuleType, ...] = (curation, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
