@@ -111,7 +111,7 @@ def sigmoid(x: Column) -> Column:
 
 def threshold_key(x: Column) -> Column:
     """0.010 as "0.01": at most three digits, no trailing zeros."""
-    return F.rtrim(F.lit("."), F.rtrim(F.lit("0"), F.format_string("%.3f", x)))
+    return F.rtrim(F.rtrim(F.format_string("%.3f", x), F.lit("0")), F.lit("."))
 
 
 def file_safe(x: Column) -> Column:

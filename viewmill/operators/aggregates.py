@@ -32,16 +32,23 @@ def exact_percentiles(df: DataFrame, group: list[str], column: str, probs: list[
     )
     targets = broadcast_if_small(written(ends.select(*group, "n", F.inline(brackets)), "brackets"))
     pairs = values.join(targets, group) if group else values.join(targets)
-    counts = pairs.where("x <= hi").groupBy(*group, "prob", "n", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(*group, "prob").orderBy(F.asc_nulls_first("x")))
-    at = (F.col("n") - 1) * F.col("prob")
-    ranked = counts.withColumns({"upto": upto, "at": at})
-    holds = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("k") <= r)
+    # -1: below the bracket, 0: inside, 1: above; outside only the nearest value can be asked for
+    side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
+    counts = (
+        pairs.withColumn("side", side)
+        .groupBy(*group, "prob", "n", "side", F.when(F.col("side") == 0, F.col("x")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("k"), F.when(F.col("side") < 0, F.max("x")).otherwise(F.min("x")).alias("x"))
+    )
+    upto = F.sum("k").over(Window.partitionBy(*group, "prob").orderBy("side", "v"))
+    ranked = counts.withColumns({"upto": upto, "at": (F.col("n") - 1) * F.col("prob")})
+
+    def value_at(r: Column) -> Column:
+        first, last = F.col("upto") - F.col("k"), F.col("upto") - 1
+        nearest = (F.col("side") == 0) | ((F.col("side") < 0) & (r == last)) | ((F.col("side") > 0) & (r == first))
+        return F.max(F.when((first <= r) & (r <= last) & nearest, F.col("x")))
+
     found = ranked.groupBy(*group, "prob").agg(
-        F.max("n").alias("n"),
-        F.max("at").alias("at"),
-        F.max(F.when(holds(F.floor("at")), F.col("x"))).alias("a"),
-        F.max(F.when(holds(F.ceil("at")), F.col("x"))).alias("b"),
+        F.max("n").alias("n"), F.max("at").alias("at"), value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b")
     )
     x = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
     return found.select(*group, "prob", "n", x.alias("x"))

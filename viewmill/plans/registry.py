@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewmill.plans import curation, records
+from viewmill.plans import curation, records, relational, stats
 
-MODULES: tuple[ModuleType, ...] = (curation, records)
+MODULES: tuple[ModuleType, ...] = (curation, stats, relational, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
