@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewmill.plans import curation, records, relational, stats
+from viewmill.plans import curation, records, relational, sequences, stats
 
-MODULES: tuple[ModuleType, ...] = (curation, stats, relational, records)
+MODULES: tuple[ModuleType, ...] = (curation, stats, relational, sequences, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
