@@ -165,9 +165,9 @@ def bisect(lo: Column, hi: Column, holds, steps: int = 60) -> Column:
     start = F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        return F.struct(
-            F.when(holds(mid), s["lo"]).otherwise(mid).alias("lo"), F.when(holds(mid), mid).otherwise(s["hi"]).alias("hi")
-        )
+        mid = F.array((s["lo"] + s["hi"]) / 2)  # bound once, so that ``holds`` is evaluated once
+        below = lambda m: F.struct(s["lo"].alias("lo"), m.alias("hi"))
+        above = lambda m: F.struct(m.alias("lo"), s["hi"].alias("hi"))
+        return F.get(F.transform(mid, lambda m: F.when(holds(m), below(m)).otherwise(above(m))), 0)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["hi"])

@@ -88,21 +88,37 @@ def safe_distance(a: list[Column], b: list[Column], radius: float) -> Column:
     return F.when(misses, straight).otherwise(F.greatest(straight, tangents + radius * arc))
 
 
-def pose_matrix(eye: list[Column], roll: Column) -> list[Column]:
-    """Row-major 3x3 world-to-camera rotation looking at the origin; the up axis changes near the poles."""
-    r = F.sqrt(dot(eye, eye))
-    f = [-e / r for e in eye]
-    polar = F.abs(f[1]) > 0.999
+def with_rotation(df: DataFrame, eye: list[str], roll: Column) -> DataFrame:
+    """Adds r0..r8: the row-major world-to-camera rotation that looks from ``eye`` at the origin.
+
+    The up axis changes near the poles. Built in steps, so that each vector is computed once.
+    """
+    length = F.sqrt(sum(F.col(e) * F.col(e) for e in eye))
+    df = df.withColumns({f"_f{i}": -F.col(e) / length for i, e in enumerate(eye)})
+    polar = F.abs("_f1") > 0.999
     up = [F.lit(0.0), F.when(polar, 0.0).otherwise(1.0), F.when(polar, 1.0).otherwise(0.0)]
-    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
-    side = cross(f, up)
-    length = F.sqrt(dot(side, side))
-    side = [s / length for s in side]
-    top = cross(side, f)
-    c, s = F.cos(roll), F.sin(roll)
-    right = [c * a + s * b for a, b in zip(side, top, strict=True)]
-    down = [s * a - c * b for a, b in zip(side, top, strict=True)]
-    return [*right, *down, *f]
+
+    def cross(p: list[Column], q: list[Column]) -> list[Column]:
+        return [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+
+    vector = lambda name: [F.col(f"{name}{i}") for i in range(3)]
+    df = df.withColumns({f"_w{i}": c for i, c in enumerate(cross(vector("_f"), up))})
+    size = F.sqrt(dot(vector("_w"), vector("_w")))
+    df = df.withColumns({f"_s{i}": c / size for i, c in enumerate(vector("_w"))})
+    df = df.withColumns({f"_t{i}": c for i, c in enumerate(cross(vector("_s"), vector("_f")))})
+    cos, sin = F.cos(roll), F.sin(roll)
+    right = [cos * a + sin * b for a, b in zip(vector("_s"), vector("_t"), strict=True)]
+    down = [sin * a - cos * b for a, b in zip(vector("_s"), vector("_t"), strict=True)]
+    df = df.withColumns({f"r{i}": c for i, c in enumerate([*right, *down, *vector("_f")])})
+    return df.drop(*(f"_{name}{i}" for name in "fwst" for i in range(3)))
+
+
+def rotate(point: list[Column], axis: list[Column], angle: Column) -> list[Column]:
+    """The point turned around a unit axis through the origin (Rodrigues)."""
+    c, s = F.cos(angle), F.sin(angle)
+    along = dot(point, axis) * (1 - c)
+    turned = [axis[1] * point[2] - axis[2] * point[1], axis[2] * point[0] - axis[0] * point[2], axis[0] * point[1] - axis[1] * point[0]]
+    return [p * c + t * s + a * along for p, t, a in zip(point, turned, axis, strict=True)]
 
 
 def project(point: list[Column], eye: list[Column], rotation: list[Column], width: int, focal: float) -> tuple[Column, Column, Column]:

@@ -38,7 +38,8 @@ def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p6_objects": p6_objects}
 
-_P4 = r"""
+#: WITH clause that ends in ``k``: file_id, cache_dir, view_number, pts of the identified files.
+MEMBERS_SQL = r"""
 WITH f AS (
   SELECT file_id,
     lower(replace(trim(view_cache_dir), '\', '/')) AS d0,
@@ -58,11 +59,18 @@ g AS (
 k AS (SELECT * FROM g WHERE cache_dir IS NOT NULL AND view_number IS NOT NULL AND len(pts) > 0)
 """
 
+#: WITH clause that ends in ``points``: obj, view_number, x, y, z of the cached views.
+POINTS_SQL = (
+    MEMBERS_SQL
+    + """, points AS (SELECT DISTINCT split_part(cache_dir, '/', -1) AS obj, view_number, p.x AS x, p.y AS y, p.z AS z
+  FROM (SELECT cache_dir, view_number, unnest(pts) AS p FROM k))"""
+)
+
 SQL = {
-    "p4_found": _P4
+    "p4_found": MEMBERS_SQL
     + """SELECT a.file_id AS file_id_a, b.file_id AS file_id_b FROM k a JOIN k b
 ON a.cache_dir = b.cache_dir AND a.view_number = b.view_number AND a.pts = b.pts AND a.file_id < b.file_id""",
-    "p4_records": _P4
+    "p4_records": MEMBERS_SQL
     + """SELECT cache_dir, view_number, len(pts)::INTEGER AS n_points, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file_id
 FROM k GROUP BY cache_dir, view_number, pts""",
 }
