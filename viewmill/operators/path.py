@@ -38,7 +38,7 @@ def shortest_open_path(nodes: DataFrame, group: list[str], max_nodes: int = MAX_
         states = states.where(F.col("n_nodes") > k)
         if k == max_nodes or states.isEmpty():
             break
-        bit = F.shiftleft(F.lit(1), F.col("b_idx"))
+        bit = F.call_function("shiftleft", F.lit(1), F.col("b_idx"))
         moved = states.join(to, group).where(F.col("seen").bitwiseAND(bit) == 0)
         cost = F.round(F.col("cost") + distance("a", "b"), 9)
         moved = moved.select(*group, "n_nodes", F.col("seen").bitwiseOR(bit).alias("seen"), "b_idx", *(F.col(f"b{c}").alias(f"a{c}") for c in XYZ), cost.alias("cost"), F.concat("route", F.array("b_idx")).alias("route"))

@@ -126,6 +126,6 @@ e AS (SELECT *, {_EYE.format(r=2.0)} FROM (SELECT DISTINCT obj, view_number FROM
 d AS (SELECT obj, view_number, ex * cos(0.1::DOUBLE) + ez * sin(0.1::DOUBLE) AS dx, ey AS dy, ez * cos(0.1::DOUBLE) - ex * sin(0.1::DOUBLE) AS dz, unnest(range(96)) AS step FROM e),
 w AS (SELECT obj, view_number, step, round(dx * (1 - (step + 0.5::DOUBLE) / 64), 9) AS x, round(dy * (1 - (step + 0.5::DOUBLE) / 64), 9) AS y, round(dz * (1 - (step + 0.5::DOUBLE) / 64), 9) AS z FROM d),
 c AS (SELECT obj, view_number, step, {_CELL.format(0.25)} FROM w),
-f AS (SELECT c.obj, c.view_number, min(step) AS first_hit FROM c JOIN oc ON c.obj = oc.obj AND c.vx = oc.vx AND c.vy = oc.vy AND c.vz = oc.vz GROUP BY ALL)
-SELECT e.obj, e.view_number, first_hit FROM e LEFT JOIN f ON e.obj = f.obj AND e.view_number = f.view_number""",
+fh AS (SELECT c.obj, c.view_number, min(step) AS first_hit FROM c JOIN oc ON c.obj = oc.obj AND c.vx = oc.vx AND c.vy = oc.vy AND c.vz = oc.vz GROUP BY ALL)
+SELECT e.obj, e.view_number, first_hit FROM e LEFT JOIN fh ON e.obj = fh.obj AND e.view_number = fh.view_number""",
 }

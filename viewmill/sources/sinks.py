@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewmill.session import written
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
@@ -38,7 +40,7 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     fresh = df.dropDuplicates(keys)
     if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    fresh = fresh.cache()
+    fresh = written(fresh, "fresh")
     fresh.write.mode("append").parquet(path)
     return fresh
 
