@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viewmill.session import written
+from viewmill.session import spread, written
 
 LIST_FIELDS = (
     "visited_view_ids",
@@ -44,37 +44,38 @@ def as_array(v: str) -> str:
     return f"try_variant_get({v}, '$', 'array<variant>')"
 
 
+def bind(expr: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for the value of ``expr``, which is evaluated once."""
+    return f"get(transform(array({expr}), {name} -> {body}), 0)"
+
+
 def whole_json(text: str) -> str:
-    """SQL for the value of a text that is exactly one JSON value; else null.
+    """SQL for an array with the value of a text that is exactly one JSON value; else null or of another size.
 
     The brackets make the parser see text that follows the first value.
     """
     plain = f"regexp_replace({text}, '^\\\\uFEFF', '')"
     mended = f"regexp_replace({plain}, '(?<=[:,\\\\[])\\\\s*(NaN|-?Infinity)(?=\\\\s*[,\\\\]}}])', 'null')"
-    arrays = ", ".join(as_array(f"try_parse_json(concat('[', {t}, ']'))") for t in (plain, mended))
-    return f"transform(array(coalesce({arrays})), a -> case when size(a) = 1 then a[0] end)[0]"
+    return "coalesce(" + ", ".join(as_array(f"try_parse_json(concat('[', {t}, ']'))") for t in (plain, mended)) + ")"
 
 
 def decoded(v: str) -> str:
     """SQL: a JSON text inside a string becomes its value; anything else stays."""
-    parsed = whole_json(f"try_variant_get({v}, '$', 'string')")
-    return f"case when {as_object(v)} is null and {as_array(v)} is null then coalesce({parsed}, {v}) else {v} end"
+    parsed = bind(whole_json(f"try_variant_get({v}, '$', 'string')"), "dj", "case when size(dj) = 1 then dj[0] end")
+    return f"case when schema_of_variant({v}) = 'STRING' then coalesce({parsed}, {v}) else {v} end"
 
 
 def listed(v: str) -> str:
     """SQL for the children of a level, however it was written, as array<variant>."""
-    entries = f"map_entries({as_object(v)})"
-    numbered = f"size({as_object(v)}) > 0 and forall(map_keys({as_object(v)}), k -> k rlike '^[0-9]+$')"
-    in_order = (
-        f"transform(array_sort(transform({entries}, e -> struct(cast(e.key as decimal(38,0)) as k, e.value as v)), "
-        "(a, b) -> case when a.k < b.k then -1 when a.k > b.k then 1 else 0 end), e -> e.v)"
-    )
-    return (
-        f"case when {as_array(v)} is not null then {as_array(v)} "
-        f"when {numbered} then {in_order} "
-        f"when size({as_object(v)}) > 0 then array({v}) "
-        "else cast(array() as array<variant>) end"
+    entries = "transform(map_entries(lo), e -> struct(cast(e.key as decimal(38,0)) as k, e.value as v))"
+    in_order = f"transform(array_sort({entries}, (a, b) -> case when a.k < b.k then -1 when a.k > b.k then 1 else 0 end), e -> e.v)"
+    from_object = bind(
+        as_object(v),
+        "lo",
+        f"case when size(lo) > 0 and forall(map_keys(lo), k -> k rlike '^[0-9]+$') then {in_order} "
+        f"when size(lo) > 0 then array({v}) else cast(array() as array<variant>) end",
     )
+    return f"coalesce({as_array(v)}, {from_object})"
 
 
 def snake(key: str) -> str:
@@ -83,16 +84,18 @@ def snake(key: str) -> str:
 
 def canonical_text(text: str) -> str:
     """SQL for one spelling of a scalar's text: 12, 12.0 and "12" are the same number, "" is nothing."""
-    text = f"trim({text})"
-    number = f"try_cast({text} as double)"
-    return (
-        f"case when {text} = '' or lower({text}) in ('null', 'none') then null "
-        f"when {text} rlike '^[-+]?[0-9]{{1,15}}$' then cast(cast({text} as bigint) as string) "
-        f"when {text} rlike '^[-+.0-9eE]+$' and {number} = floor({number}) and abs({number}) < 1e15 "
-        f"then cast(cast({number} as bigint) as string) "
-        f"when {text} rlike '^[-+.0-9eE]+$' and {number} is not null then cast({number} as string) "
-        f"else {text} end"
+    spelled = (
+        "case when ct = '' or lower(ct) in ('null', 'none') then null "
+        "when ct rlike '^[-+]?[0-9]{1,15}$' then cast(cast(ct as bigint) as string) "
+        "when ct rlike '^[-+.0-9eE]+$' then "
+        + bind(
+            "try_cast(ct as double)",
+            "cn",
+            "case when cn = floor(cn) and abs(cn) < 1e15 then cast(cast(cn as bigint) as string) when cn is not null then cast(cn as string) else ct end",
+        )
+        + " else ct end"
     )
+    return bind(f"trim({text})", "ct", spelled)
 
 
 def canonical_scalar(v: str) -> str:
@@ -101,29 +104,29 @@ def canonical_scalar(v: str) -> str:
 
 
 def elements(v: str) -> str:
-    """SQL for the elements of a list as array<string>, also of one written as an object or as plain text."""
-    text = f"regexp_replace(trim(try_variant_get({v}, '$', 'string')), '^[\\\\[(]\\\\s*|\\\\s*[\\\\])]$', '')"
-    parts = f"split({text}, case when {text} rlike '[,;|]' then '[,;|]' else '\\\\s+' end)"
-    return (
-        f"case when {v} is null or is_variant_null({v}) then null "
-        f"when {as_array(v)} is not null then transform({as_array(v)}, x -> {canonical_scalar('x')}) "
-        f"when {as_object(v)} is not null then transform({listed(v)}, x -> {canonical_scalar('x')}) "
-        f"when {text} = '' then cast(array() as array<string>) "
-        f"else transform({parts}, x -> {canonical_text('x')}) end"
+    """SQL for the elements of a list as array<string>, also of one written as an object or as plain text.
+
+    Lists of plain integers, the usual case, need no look at each element.
+    """
+    plain = f"regexp_replace(trim(try_variant_get({v}, '$', 'string')), '^[\\\\[(]\\\\s*|\\\\s*[\\\\])]$', '')"
+    parts = "split(pt, case when pt rlike '[,;|]' then '[,;|]' else '\\\\s+' end)"
+    from_text = bind(plain, "pt", f"case when pt = '' then cast(array() as array<string>) else transform({parts}, x -> {canonical_text('x')}) end")
+    from_array = bind(as_array(v), "ea", f"transform(ea, x -> {canonical_scalar('x')})")
+    kind = (
+        f"case when kind = 'ARRAY<BIGINT>' then cast(try_variant_get({v}, '$', 'array<bigint>') as array<string>) "
+        f"when kind like 'ARRAY%' then {from_array} "
+        f"when kind like 'OBJECT%' then transform({listed(v)}, x -> {canonical_scalar('x')}) else {from_text} end"
     )
+    return f"case when {v} is null or is_variant_null({v}) then null else {bind(f'schema_of_variant({v})', 'kind', kind)} end"
 
 
 def fields_of(v: str) -> str:
     """SQL: the fields of object ``v`` under snake-case names; of two spellings the first non-null counts."""
-    obj = as_object(v)
-    pairs = f"transform(map_entries({obj}), e -> struct({snake('e.key')} as k, e.value as v))"
-    keys = f"array_distinct(transform({pairs}, e -> e.k))"
-    full = f"get(transform(filter({pairs}, e -> e.k = name and not is_variant_null(e.v)), e -> e.v), 0)"
-    plain = f"forall(map_keys({obj}), k -> k = {snake('k')})"
-    return (
-        f"case when {plain} then {obj} "
-        f"else map_from_arrays({keys}, transform({keys}, name -> {full})) end"
-    )
+    pairs = f"transform(map_entries(fo), e -> struct({snake('e.key')} as k, e.value as v))"
+    full = "get(transform(filter(fp, e -> e.k = name and not is_variant_null(e.v)), e -> e.v), 0)"
+    renamed = bind(pairs, "fp", f"{bind('array_distinct(transform(fp, e -> e.k))', 'fk', f'map_from_arrays(fk, transform(fk, name -> {full}))')}")
+    plain = f"forall(map_keys(fo), k -> k = {snake('k')})"
+    return bind(as_object(v), "fo", f"case when {plain} then fo else {renamed} end")
 
 
 def attributes(fields: str, children: tuple[str, ...]) -> str:
@@ -142,17 +145,17 @@ def digest(*parts: Column) -> Column:
 def exploded_steps(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """One row for each step (or childless rollout, or childless record), without any shuffle."""
     records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    root = (
-        records.select(F.col(id_col).alias("record_id"), F.expr(whole_json(json_col)).alias("v"))
-        .where("v is not null")
-        .withColumn("v", F.expr(decoded("v")))
-        .withColumn("v", F.expr(decoded("v")))
-    )
+    # Exploding the bracketed value is what keeps the parsed text from being evaluated again below.
+    one = bind(whole_json("t"), "wj", "case when size(wj) = 1 then wj else cast(array() as array<variant>) end")
+    root = spread(records.select(F.col(id_col).alias("record_id"), F.col(json_col).alias("t"))).select("record_id", F.explode(F.expr(one)).alias("v"))
+    again = bind(decoded("v"), "d1", decoded("d1"))
     has_rollouts = f"exists(map_keys({fields_of('x')}), k -> k = 'rollouts')"
-    inner = f"filter(transform(map_values({as_object('v')}), y -> {decoded('y')}), x -> coalesce({has_rollouts}, false))"
-    direct = f"exists(map_keys({as_object('v')}), k -> k = 'rollouts')"
-    root = root.withColumn("v", F.expr(f"case when {direct} then v else coalesce(get({inner}, 0), v) end"))
-    root = root.where(f"{as_object('v')} is not null").select("record_id", F.expr(fields_of("v")).alias("f"))
+    inner = f"filter(transform(map_values(om), y -> {decoded('y')}), x -> coalesce({has_rollouts}, false))"
+    unwrapped = bind(as_object("u"), "om", f"case when exists(map_keys(om), k -> lower(k) = 'rollouts') then u else coalesce(get({inner}, 0), u) end")
+    plain = "try_variant_get(v, '$.rollouts', 'variant') is not null"
+    whole = f"case when {plain} then v else {bind(again, 'u', unwrapped)} end"
+    fields = bind(whole, "w", fields_of("w"))
+    root = root.select("record_id", F.explode(F.expr(f"array_compact(array({fields}))")).alias("f"))
     rollouts = root.select(
         "record_id",
         F.expr(attributes("f", ("rollouts",))).alias("file_attrs"),
