@@ -209,3 +209,26 @@ def test_rotation_and_box(spark):
         assert np.allclose(m @ m.T, np.eye(3)) and np.allclose(m @ -eye, [0, 0, np.linalg.norm(eye)])
     hit = lambda o, v: one(spark, geometry.hits_box([F.lit(float(x)) for x in o], [F.lit(float(x)) for x in v], -1.0, 1.0), a=0.0)
     assert hit((-3, 0, 0), (1, 0, 0)) and not hit((-3, 0, 0), (-1, 0, 0)) and not hit((-3, 2, 0), (1, 0, 0)) and hit((0, 0, 0), (0, 1, 0))
+
+
+def test_representatives_equal_loop(spark):
+    rng = random.Random(11)
+    pts = np.array([[rng.random() + 3 * (i % 3), rng.random(), rng.random()] for i in range(40)])
+    df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(pts)], "g int, id int, x double, y double, z double")
+    got = sorted((r.cluster, r.id, r["size"]) for r in path.representatives(df, ["g"], "id", 3, 4).collect())
+    chosen = [0]
+    while len(chosen) < 3:
+        chosen.append(max(range(40), key=lambda i: (min(round(math.dist(pts[i], pts[c]), 9) for c in chosen), -i)))
+    centres = pts[chosen]
+    for _ in range(4):
+        near = np.array([[round(math.dist(p, c), 9) for c in centres] for p in pts]).argmin(1)
+        centres = np.array([pts[near == j].mean(0).round(9) for j in range(3)])
+    d = np.array([[round(math.dist(p, c), 9) for c in centres] for p in pts])
+    near = d.argmin(1)
+    expected = [(j, min((d[i, j], i) for i in np.flatnonzero(near == j))[1], int((near == j).sum())) for j in range(3)]
+    assert got == expected
+
+
+def test_empty_sides_of_nearest(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    assert joins.nearest(df.limit(0), df, "id", "v").count() == 0 and joins.nearest(df, df.limit(0), "id", "v").count() == 0

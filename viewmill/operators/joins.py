@@ -66,13 +66,13 @@ def nearest(
     """
     spark = rows.sparkSession
     asked = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
-    numbered = asked.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("q")) - 1) / block))
     n_blocks = (asked.count() + block - 1) // block
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("q"), F.lit(max(1, n_blocks))))  # sizes close to ``block``
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
     out = spark.createDataFrame([], schema)
     source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     for i in range(n_blocks):
-        part = numbered.where(F.col("_block") == i).select("q", F.col("v").cast("array<double>").alias("v")).collect()  # at most ``block`` rows
+        part = numbered.where(F.col("_block") == i).select("q", F.col("v").cast("array<double>").alias("v")).collect()  # about ``block`` rows
         shared = spark.sparkContext.broadcast((np.array([r.q for r in part]), np.array([r.v for r in part])))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -81,6 +81,8 @@ def nearest(
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                if not len(ids):
+                    return
                 x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
                 own = batch.column(0).to_numpy()
                 s = q @ x.T

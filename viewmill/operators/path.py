@@ -67,3 +67,30 @@ def farthest_points(points: DataFrame, group: list[str], id_col: str, k: int) ->
         nearer = named.withColumn("gap", F.least("gap", F.round(distance("a", "b"), 9)))
         pool = nearer.select(*group, id_col, *(F.col(f"a{c}").alias(c) for c in XYZ), "gap")
     return chosen.select(*group, id_col, "place", F.when(F.col("place") > 0, F.col("gap")).alias("gap"))
+
+
+def representatives(points: DataFrame, group: list[str], id_col: str, k: int, rounds: int = 15) -> DataFrame:
+    """The ``k`` medoids of each group after ``rounds`` of Lloyd's iteration: group, cluster, id, size.
+
+    Starts from the farthest points. Every round is one join of points and centres by group and two
+    aggregations, for all groups in one job; only the centres (``k`` a group) are written between rounds.
+    """
+    rows = written(points.select(*group, id_col, *XYZ), "cluster-points")
+    first = farthest_points(rows, group, id_col, k).select(*group, id_col, F.col("place").alias("cluster"))
+    centres = rows.join(first, [*group, id_col]).select(*group, "cluster", *(F.col(c).alias(f"b{c}") for c in XYZ))
+    named = rows.withColumnsRenamed({c: f"a{c}" for c in XYZ})
+
+    def assigned(centres: DataFrame) -> DataFrame:
+        near = F.struct(F.round(distance("a", "b"), 9).alias("d"), F.col("cluster"))
+        return named.join(centres, group).groupBy(*group, id_col).agg(
+            F.min(near).alias("n"), *(F.first(f"a{c}").alias(f"a{c}") for c in XYZ)
+        )
+
+    for _ in range(rounds):
+        centres = written(centres, "cluster-centres")
+        means = assigned(centres).groupBy(*group, F.col("n.cluster").alias("cluster"))
+        centres = means.agg(*(F.round(F.avg(f"a{c}"), 9).alias(f"b{c}") for c in XYZ))
+    final = assigned(written(centres, "cluster-centres"))
+    return final.groupBy(*group, F.col("n.cluster").alias("cluster")).agg(
+        F.min_by(id_col, F.struct("n.d", id_col)).alias(id_col), F.count(F.lit(1)).alias("size")
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viewmill.session import broadcast_if_small
+
 
 def monotone_gain(points: DataFrame, key: list[str], n: str, y: str) -> DataFrame:
     """Adds ``y_mono`` (running maximum by ``n``) and ``gain`` to the next point (null at the last)."""
@@ -96,9 +98,9 @@ def water_level(counts: DataFrame, n: str, target: int) -> DataFrame:
 
 
 def take_quota(rows: DataFrame, group: list[str], quotas: DataFrame, order: list[Column]) -> DataFrame:
-    """The first ``quota`` rows of each group in ``order``. Groups are split by the leading hash digit first,
-    so that no more than the quota of a slice reaches the group's own window."""
-    joined = rows.join(F.broadcast(quotas.select(*group, "quota")), group)
+    """The first ``quota`` rows of each group in ``order``. Groups are cut into slices by input partition first,
+    so that no more than the quota of each slice reaches the group's own window."""
+    joined = rows.join(broadcast_if_small(quotas.select(*group, "quota")), group)
     in_slice = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order))
     sliced = joined.withColumn("_slice", F.spark_partition_id() % 64)
     few = sliced.withColumn("_r", in_slice).where("_r <= quota").drop("_r", "_slice")

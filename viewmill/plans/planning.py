@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from viewmill.functions.scalar import binary_entropy, occupancy_class
 from viewmill.operators.cover import greedy_cover
 from viewmill.operators.geometry import rotate, sphere_pose, voxel_keys
-from viewmill.operators.path import farthest_points, shortest_open_path
+from viewmill.operators.path import farthest_points, representatives, shortest_open_path
 from viewmill.plans.coverage import OBJECT, VIEW, VOXEL, cache_points, candidates, first_view, views
 from viewmill.plans.records import POINTS_SQL
-from viewmill.plans.sequences import run_steps
+from viewmill.plans.sequences import SQL as SEQUENCE_SQL
+from viewmill.plans.sequences import replay, run_steps
 from viewmill.session import table
 
 
@@ -97,8 +98,61 @@ def ray_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posed.select("obj", "view_number").join(first, ["obj", "view_number"], "left")
 
 
+def view_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three representative views of each object by position."""
+    ids = views(spark, sf_dir).select("obj", "view_number").distinct().where("view_number between 0 and 127")
+    posed = ids.withColumns(sphere_pose(F.col("view_number"), 128, 1.0))
+    return representatives(posed, ["obj"], "view_number", 3, 5)
+
+
+def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each run ended, by the first rule that holds at its last step."""
+    last = run_steps(spark, sf_dir).groupBy("run_id", "start_view_id").agg(
+        F.max_by(F.struct("covered_ratio", "oracle_nbv_gain", "oracle_nbv_view_id"), "step_id").alias("r"), F.count(F.lit(1)).alias("n")
+    )
+    reason = (
+        F.when(F.col("r.covered_ratio") >= 0.999, "full_coverage")
+        .when(F.coalesce("r.oracle_nbv_gain", F.lit(0)) <= 0, "no_gain")
+        .when(F.col("r.oracle_nbv_view_id").isNull(), "no_view")
+        .when(F.col("n") >= 6, "budget")
+        .otherwise("cut_off")
+    )
+    return last.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's replayed views followed by the other views below 16 in id order: place and origin."""
+    played = replay(spark, sf_dir).select("run_id", "start_view_id", "view_id", F.col("place").alias("p"))
+    runs = played.select("run_id", "start_view_id").distinct()
+    rest = runs.select("run_id", "start_view_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("view_id"))
+    rest = rest.join(played, ["run_id", "start_view_id", "view_id"], "left_anti").withColumn("p", F.lit(None).cast("int"))
+    w = Window.partitionBy("run_id", "start_view_id").orderBy(F.asc_nulls_last("p"), "view_id")
+    both = played.unionByName(rest)
+    return both.select("run_id", "start_view_id", "view_id", F.row_number().over(w).alias("place"), F.when(F.col("p").isNull(), "fallback").otherwise("replay").alias("origin"))
+
+
+def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five members of each pool with the smallest and five with the largest B (O3)."""
+    b = F.col("observation_saturation_view_num")
+    rows = table(spark, sf_dir, "split_members").where(b.isNotNull()).select("pool_type", "member_id", b.alias("b"))
+    low = F.row_number().over(Window.partitionBy("pool_type").orderBy("b", "member_id"))
+    high = F.row_number().over(Window.partitionBy("pool_type").orderBy(F.desc("b"), "member_id"))
+    ends = [rows.withColumn("k", o).where("k <= 5").select(F.lit(n).alias("end"), "pool_type", "k", "member_id") for n, o in (("low", low), ("high", high))]
+    return ends[0].unionByName(ends[1])
+
+
+def tiled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each object repeated in order up to a multiple that reaches 64 (X32): rows and distinct points."""
+    points = cache_points(spark, sf_dir).select("obj", "x", "y", "z").distinct()
+    n = points.groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
+    times = F.ceil(F.lit(64) / F.col("n")).cast("int")
+    tiled = points.join(n, "obj").withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    return tiled.groupBy("obj").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("x", "y", "z").alias("n_points"))
+
+
 QUERIES = {f.__name__: f for f in (
     max_coverage, residual_cover, open_path, farthest_views, topk_accuracy, bucket_quotas, occupancy_map, ray_walk,
+    view_clusters, stop_reasons, fallback_order, top_examples, tiled_points,
 )}
 
 _GOLDEN = math.pi * (3 - math.sqrt(5))
@@ -110,6 +164,19 @@ c AS (SELECT row_id, p[1] AS view_id, max(p[2]) AS gain FROM e WHERE p[1] IS NOT
 _CELL = ", ".join(f"floor({c} / {{0}}::DOUBLE)::BIGINT AS v{c}" for c in "xyz")
 
 SQL = {
+    "stop_reasons": """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id, step_id ORDER BY row_id) AS rk FROM method_steps WHERE covered_voxel_count IS NOT NULL) WHERE rk = 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY step_id DESC) AS k, count(*) OVER (PARTITION BY run_id, start_view_id) AS n FROM s)
+SELECT CASE WHEN covered_ratio >= 0.999 THEN 'full_coverage' WHEN coalesce(oracle_nbv_gain, 0) <= 0 THEN 'no_gain' WHEN oracle_nbv_view_id IS NULL THEN 'no_view'
+WHEN n >= 6 THEN 'budget' ELSE 'cut_off' END AS reason, count(*) AS n_runs FROM l WHERE k = 1 GROUP BY 1""",
+    "fallback_order": "WITH r AS (" + SEQUENCE_SQL["replay"] + """), x AS (SELECT run_id, start_view_id, view_id, place AS p FROM r
+UNION ALL SELECT run_id, start_view_id, v, NULL FROM (SELECT DISTINCT run_id, start_view_id FROM r), (SELECT unnest(range(16))::INTEGER AS v))
+SELECT run_id, start_view_id, view_id, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY p NULLS LAST, view_id)::INTEGER AS place,
+CASE WHEN p IS NULL THEN 'fallback' ELSE 'replay' END AS origin FROM (SELECT *, count(p) OVER (PARTITION BY run_id, start_view_id, view_id) AS c FROM x) WHERE p IS NOT NULL OR c = 0""",
+    "top_examples": """WITH b AS (SELECT pool_type, member_id, observation_saturation_view_num AS b FROM split_members WHERE observation_saturation_view_num IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pool_type ORDER BY b, member_id)::INTEGER AS lo, row_number() OVER (PARTITION BY pool_type ORDER BY b DESC, member_id)::INTEGER AS hi FROM b)
+SELECT 'low' AS "end", pool_type, lo AS k, member_id FROM r WHERE lo <= 5 UNION ALL SELECT 'high', pool_type, hi, member_id FROM r WHERE hi <= 5""",
+    "tiled_points": POINTS_SQL + """, q AS (SELECT DISTINCT obj, x, y, z FROM points), n AS (SELECT obj, count(*) AS n FROM q GROUP BY obj)
+SELECT obj, (n * ceil(64 / n::DOUBLE))::BIGINT AS n_rows, n AS n_points FROM n""",
     "topk_accuracy": _CAND + """, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY gain DESC, view_id) AS rank FROM c)
 SELECT count(*) AS n, round(avg(coalesce((rank <= 1)::INTEGER, 0)), 6) AS top1, round(avg(coalesce((rank <= 3)::INTEGER, 0)), 6) AS top3, round(avg(coalesce((rank <= 5)::INTEGER, 0)), 6) AS top5
 FROM method_steps m LEFT JOIN r ON m.row_id = r.row_id AND m.oracle_nbv_view_id = r.view_id WHERE oracle_nbv_view_id IS NOT NULL""",
