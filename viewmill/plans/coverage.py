@@ -19,17 +19,20 @@ from viewmill.operators.cover import (
 )
 from viewmill.operators.geometry import voxel_keys
 from viewmill.plans.records import POINTS_SQL
-from viewmill.session import table
+from viewmill.session import table, written
 
 CELL = 0.25
 OBJECT, VIEW, VOXEL = ["obj"], "view_number", "voxel"
 
 
 def cache_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct points of each cached view: obj (the last folder), view_number, x, y, z."""
+    """Distinct points of each cached view: obj (the last folder), view_number, x, y, z.
+
+    Parsed once and written, since most queries use them more than once.
+    """
     known = cache_members(table(spark, sf_dir, "view_cache_files")).where("identified")
     obj = F.element_at(F.split("cache_dir", "/"), -1).alias("obj")
-    return known.select(obj, "view_number", F.inline("points")).distinct()
+    return written(known.select(obj, "view_number", F.inline("points")).distinct(), "cache-points")
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
