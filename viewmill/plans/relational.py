@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viewmill.functions.scalar import label, number
 from viewmill.operators.joins import audit_join, keyed_merge, nearest, override_join, tolerance_first
+from viewmill.operators.positions import positions
 from viewmill.session import clean_key, table
 
 
@@ -132,17 +133,26 @@ def registry_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.nullif("name", F.lit("")), F.col("fit_type"), F.lit("other")).alias("fit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every member's place in the review: flagged pools first, then B descending, then id."""
+def _review(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
     pool = F.when(F.col("pool_type") == "extreme", 0).when(F.col("pool_type") == "long_tail", 1).otherwise(2)
-    rows = table(spark, sf_dir, "split_members").select("split_name", "member_id", pool.alias("p"), "observation_saturation_view_num")
-    w = Window.partitionBy("split_name", "p").orderBy(F.desc_nulls_last("observation_saturation_view_num"), "member_id")
-    return rows.select("split_name", "p", "member_id", F.row_number().over(w).alias("place")).where("place <= 20")
+    rows = table(spark, sf_dir, "split_members").select("split_name", pool.alias("p"), "member_id", "observation_saturation_view_num")
+    order = [F.desc_nulls_last("observation_saturation_view_num"), F.asc("member_id")]
+    return positions(rows, ["split_name", "p"], order, n, "place").drop("observation_saturation_view_num")
+
+
+def review_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member's place in the review: flagged pools first, then B descending, then id."""
+    return _review(spark, sf_dir, None)
+
+
+def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of ``review_order_all``: the 20 first places of each split and pool; its SQL is fixed to them."""
+    return _review(spark, sf_dir, 20).withColumn("place", F.col("place").cast("int"))
 
 
 QUERIES = {f.__name__: f for f in (
     inner_override, full_outer_merge, anti_semi, set_algebra, job_matrix, resume_work_list, tolerance_join,
-    nearest_dot, farthest, ordered_merge, registry_default, review_order,
+    nearest_dot, farthest, ordered_merge, registry_default, review_order, review_order_all,
 )} | {"audit_join": audit}
 
 _UID = r"nullif(lower(regexp_replace(uid, '^\s+|\s+$', '', 'g')), '')"
@@ -190,4 +200,6 @@ SELECT a.vec_id AS query_id, b.vec_id AS id, {_D2} AS d FROM embeddings a JOIN e
 LEFT JOIN (VALUES ('lognormal_cdf', 'lognormal'), ('discrete', '')) AS t(fit_type, name) ON s.fit_type = t.fit_type GROUP BY 1""",
     "review_order": """SELECT split_name, p, member_id, place FROM (SELECT split_name, p, member_id, row_number() OVER (PARTITION BY split_name, p ORDER BY observation_saturation_view_num DESC NULLS LAST, member_id)::INTEGER AS place
 FROM (SELECT *, CASE WHEN pool_type = 'extreme' THEN 0 WHEN pool_type = 'long_tail' THEN 1 ELSE 2 END AS p FROM split_members)) WHERE place <= 20""",
+    "review_order_all": """SELECT split_name, p, member_id, row_number() OVER (PARTITION BY split_name, p ORDER BY observation_saturation_view_num DESC NULLS LAST, member_id) AS place
+FROM (SELECT *, CASE WHEN pool_type = 'extreme' THEN 0 WHEN pool_type = 'long_tail' THEN 1 ELSE 2 END AS p FROM split_members)""",
 }
