@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from viewmill.plans import registry
+from viewmill.plans import registry, relational
 from viewmill.session import table
 
 D = "/root/testdata/sf0.001"
@@ -15,3 +15,10 @@ def test_every_member_has_a_place(spark):
     assert max(sizes.values()) > 20
     for key, n in sizes.items():
         assert sorted(r.place for r in got if (r.split_name, r.p) == key) == list(range(1, n + 1))
+
+
+def test_every_object_has_its_jobs_and_one_shard(spark):
+    got = registry.queries()["job_matrix_all"](spark, D).collect()
+    uids = sorted(r.uid for r in relational.objects(spark, D).select("uid").collect())
+    assert sorted((r.uid, r.shard) for r in got) == sorted((u, i % 4) for i, u in enumerate(uids) for _ in range(9))
+    assert len({r.job_id for r in got}) == len(got)

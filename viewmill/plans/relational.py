@@ -80,13 +80,24 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _jobs(uids: DataFrame) -> DataFrame:
+    """Each object with every start view and method, under a stable id."""
+    starts, methods = F.array(*map(F.lit, (0, 42, 85))), F.array(*map(F.lit, ("greedy", "random", "nearest")))
+    jobs = uids.withColumn("start", F.explode(starts)).withColumn("method", F.explode(methods))
+    return jobs.withColumn("job_id", F.concat_ws("__", "method", F.lpad(F.col("start").cast("string"), 3, "0"), "uid"))
+
+
+def job_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work list of all objects, each with every start view and method; ``shard`` (0 to 3) is the place in the sorted list modulo 4."""
+    placed = positions(objects(spark, sf_dir).select("uid"), [], [F.asc("uid")], name="position")
+    return _jobs(placed).select("job_id", "uid", "start", "method", ((F.col("position") - 1) % 4).alias("shard"))
+
+
 def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work list: shard 1 of 4 of the sorted objects, each with every start view and method, under a stable id."""
+    """Jobs of one part in four of the objects, by a hash of the uid; its SQL is fixed to that part. ``job_matrix_all`` lists all."""
     uids = objects(spark, sf_dir).select("uid")
-    shard = uids.where(F.pmod(F.conv(F.substring(F.md5("uid"), 1, 8), 16, 10).cast("long"), F.lit(4)) == 1)
-    starts, methods = F.array(*map(F.lit, (0, 42, 85))), F.array(*map(F.lit, ("greedy", "random", "nearest")))
-    jobs = shard.withColumn("start", F.explode(starts)).withColumn("method", F.explode(methods))
-    return jobs.select(F.concat_ws("__", "method", F.lpad(F.col("start").cast("string"), 3, "0"), "uid").alias("job_id"), "uid", "start", "method")
+    part = uids.where(F.pmod(F.conv(F.substring(F.md5("uid"), 1, 8), 16, 10).cast("long"), F.lit(4)) == 1)
+    return _jobs(part).select("job_id", "uid", "start", "method")
 
 
 def resume_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +162,7 @@ def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    inner_override, full_outer_merge, anti_semi, set_algebra, job_matrix, resume_work_list, tolerance_join,
+    inner_override, full_outer_merge, anti_semi, set_algebra, job_matrix, job_matrix_all, resume_work_list, tolerance_join,
     nearest_dot, farthest, ordered_merge, registry_default, review_order, review_order_all,
 )} | {"audit_join": audit}
 
@@ -187,6 +198,8 @@ UNION ALL SELECT 'train_overlap', count(*) FROM (FROM r INTERSECT FROM b) UNION
 UNION ALL SELECT 'all_rows', count(*) FROM (FROM r UNION ALL FROM b)""",
     "job_matrix": _OBJECTS + """SELECT method || '__' || lpad(start::VARCHAR, 3, '0') || '__' || uid AS job_id, uid, start, method
 FROM (SELECT uid FROM o WHERE ('0x' || substr(md5(uid), 1, 8))::BIGINT % 4 = 1), (SELECT unnest([0, 42, 85]) AS start), (SELECT unnest(['greedy', 'random', 'nearest']) AS method)""",
+    "job_matrix_all": _OBJECTS + """SELECT method || '__' || lpad(start::VARCHAR, 3, '0') || '__' || uid AS job_id, uid, start, method, shard
+FROM (SELECT uid, (row_number() OVER (ORDER BY uid) - 1) % 4 AS shard FROM o), (SELECT unnest([0, 42, 85]) AS start), (SELECT unnest(['greedy', 'random', 'nearest']) AS method)""",
     "resume_work_list": _OBJECTS + f"""SELECT member_id, CASE WHEN s.uid IS NULL THEN 'missing_row' ELSE 'missing_a_fit' END AS status
 FROM (SELECT member_id, {_UID} AS uid FROM split_members) m LEFT JOIN s ON m.uid = s.uid WHERE s.uid IS NULL OR {_A} IS NULL""",
     "tolerance_join": """WITH m AS (SELECT *, split_name IN ('main_raw_train', 'main_balanced_train') AS t FROM split_members WHERE isfinite(area))
