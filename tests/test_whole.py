@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from viewmill.plans import registry, relational
+from viewmill.plans import registry, relational, sequences
 from viewmill.session import table
 
 D = "/root/testdata/sf0.001"
@@ -22,3 +22,10 @@ def test_every_object_has_its_jobs_and_one_shard(spark):
     uids = sorted(r.uid for r in relational.objects(spark, D).select("uid").collect())
     assert sorted((r.uid, r.shard) for r in got) == sorted((u, i % 4) for i, u in enumerate(uids) for _ in range(9))
     assert len({r.job_id for r in got}) == len(got)
+
+
+def test_every_run_has_all_views_of_the_ring(spark):
+    got = registry.queries()["fallback_order_all"](spark, D).collect()
+    runs = {(r.run_id, r.start_view_id) for r in sequences.replay(spark, D).collect()}
+    views = {run: {r.view_id for r in got if (r.run_id, r.start_view_id) == run} for run in runs}
+    assert runs and {(r.run_id, r.start_view_id) for r in got} == runs and all(v >= set(range(128)) for v in views.values())

@@ -120,17 +120,26 @@ def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_runs"))
 
 
-def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's replayed views followed by the other views below 16 in id order: place and origin."""
+def _fallback(spark: SparkSession, sf_dir: str, n_views: int) -> DataFrame:
     played = replay(spark, sf_dir).select("run_id", "start_view_id", "view_id", F.col("place").alias("p"))
     runs = played.select("run_id", "start_view_id").distinct()
-    rest = runs.select("run_id", "start_view_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("view_id"))
+    rest = runs.select("run_id", "start_view_id", F.explode(F.sequence(F.lit(0), F.lit(n_views - 1))).alias("view_id"))
     rest = rest.join(played, ["run_id", "start_view_id", "view_id"], "left_anti").withColumn("p", F.lit(None).cast("int"))
     w = Window.partitionBy("run_id", "start_view_id").orderBy(F.asc_nulls_last("p"), "view_id")
     both = played.unionByName(rest)
     return both.select("run_id", "start_view_id", "view_id", F.row_number().over(w).alias("place"), F.when(F.col("p").isNull(), "fallback").otherwise("replay").alias("origin"))
 
 
+def fallback_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's replayed views followed by all other views of the ring of 128 in id order: place and origin."""
+    return _fallback(spark, sf_dir, 128)
+
+
+def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fallback_order_all`` with the views below 16 as the only fallbacks; its SQL is fixed to them."""
+    return _fallback(spark, sf_dir, 16)
+
+
 def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five members of each pool with the smallest and five with the largest B (O3)."""
     b = F.col("observation_saturation_view_num")
@@ -152,7 +161,7 @@ def tiled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     max_coverage, residual_cover, open_path, farthest_views, topk_accuracy, bucket_quotas, occupancy_map, ray_walk,
-    view_clusters, stop_reasons, fallback_order, top_examples, tiled_points,
+    view_clusters, stop_reasons, fallback_order, fallback_order_all, top_examples, tiled_points,
 )}
 
 _GOLDEN = math.pi * (3 - math.sqrt(5))
@@ -171,6 +180,10 @@ WHEN n >= 6 THEN 'budget' ELSE 'cut_off' END AS reason, count(*) AS n_runs FROM
     "fallback_order": "WITH r AS (" + SEQUENCE_SQL["replay"] + """), x AS (SELECT run_id, start_view_id, view_id, place AS p FROM r
 UNION ALL SELECT run_id, start_view_id, v, NULL FROM (SELECT DISTINCT run_id, start_view_id FROM r), (SELECT unnest(range(16))::INTEGER AS v))
 SELECT run_id, start_view_id, view_id, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY p NULLS LAST, view_id)::INTEGER AS place,
+CASE WHEN p IS NULL THEN 'fallback' ELSE 'replay' END AS origin FROM (SELECT *, count(p) OVER (PARTITION BY run_id, start_view_id, view_id) AS c FROM x) WHERE p IS NOT NULL OR c = 0""",
+    "fallback_order_all": "WITH r AS (" + SEQUENCE_SQL["replay"] + """), x AS (SELECT run_id, start_view_id, view_id, place AS p FROM r
+UNION ALL SELECT run_id, start_view_id, v, NULL FROM (SELECT DISTINCT run_id, start_view_id FROM r), (SELECT unnest(range(128))::INTEGER AS v))
+SELECT run_id, start_view_id, view_id, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY p NULLS LAST, view_id)::INTEGER AS place,
 CASE WHEN p IS NULL THEN 'fallback' ELSE 'replay' END AS origin FROM (SELECT *, count(p) OVER (PARTITION BY run_id, start_view_id, view_id) AS c FROM x) WHERE p IS NOT NULL OR c = 0""",
     "top_examples": """WITH b AS (SELECT pool_type, member_id, observation_saturation_view_num AS b FROM split_members WHERE observation_saturation_view_num IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY pool_type ORDER BY b, member_id)::INTEGER AS lo, row_number() OVER (PARTITION BY pool_type ORDER BY b DESC, member_id)::INTEGER AS hi FROM b)
