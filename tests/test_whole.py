@@ -1,8 +1,12 @@
 """Queries that give the whole result: nothing capped, sharded away or left out."""
 
+import itertools
+import math
+import random
 from collections import Counter
 
-from viewmill.plans import registry, relational, sequences
+from viewmill.operators import path
+from viewmill.plans import planning, registry, relational, sequences
 from viewmill.session import table
 
 D = "/root/testdata/sf0.001"
@@ -29,3 +33,21 @@ def test_every_run_has_all_views_of_the_ring(spark):
     runs = {(r.run_id, r.start_view_id) for r in sequences.replay(spark, D).collect()}
     views = {run: {r.view_id for r in got if (r.run_id, r.start_view_id) == run} for run in runs}
     assert runs and {(r.run_id, r.start_view_id) for r in got} == runs and all(v >= set(range(128)) for v in views.values())
+
+
+def test_open_paths_take_all_nodes(spark):
+    rng = random.Random(3)
+    groups = {g: [tuple(rng.random() for _ in range(3)) for _ in range(n)] for g, n in enumerate((1, 4, 5, 12))}
+    df = spark.createDataFrame([(g, i, *p) for g, ps in groups.items() for i, p in enumerate(ps)], "g int, idx int, x double, y double, z double")
+    got = {r.g: r for r in path.open_paths(df, ["g"], 4).collect()}
+    assert {g: (r.n_nodes, r.method) for g, r in got.items()} == {0: (1, "exact"), 1: (4, "exact"), 2: (5, "heuristic"), 3: (12, "heuristic")}
+    for g, ps in groups.items():
+        route = got[g].route
+        assert route[0] == 0 and sorted(route) == list(range(len(ps)))
+        assert abs(got[g].cost - sum(math.dist(ps[a], ps[b]) for a, b in itertools.pairwise(route))) < 1e-6
+
+
+def test_open_path_of_a_run_with_many_views(spark, monkeypatch):
+    steps = spark.createDataFrame([("r", 0, i, 10 * i) for i in range(11)], "run_id string, start_view_id int, step_id int, oracle_nbv_view_id int")
+    monkeypatch.setattr(planning, "run_steps", lambda *_: steps)
+    assert [(r.n_nodes, r.method) for r in planning.open_path(spark, D).collect()] == [(11, "heuristic")]

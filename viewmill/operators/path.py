@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,47 @@ def shortest_open_path(nodes: DataFrame, group: list[str], max_nodes: int = MAX_
     return out.groupBy(*group, "n_nodes").agg(F.min_by(F.struct("cost", "route"), F.struct("cost", "route")).alias("r")).select(*group, "n_nodes", "r.*")
 
 
+def improved_path(points: list[tuple[float, ...]]) -> tuple[float, list[int]]:
+    """Short way from point 0 through all points: nearest neighbours, then 2-opt and insertions until none helps."""
+    d = [[math.dist(p, q) for q in points] for p in points]
+    route, rest = [0], set(range(1, len(points)))
+    while rest:
+        route.append(min(rest, key=lambda j: (d[route[-1]][j], j)))
+        rest.remove(route[-1])
+    length = lambda r: sum(d[a][b] for a, b in zip(r, r[1:], strict=False))
+    cost, better = length(route), True
+    while better:
+        better = False
+        for i in range(1, len(route)):
+            for j in range(1, len(route)):
+                without = route[:i] + route[i + 1 :]
+                options = [without[:j] + [route[i]] + without[j:]]
+                if j > i:
+                    options.append(route[:i] + route[i : j + 1][::-1] + route[j + 1 :])
+                for option in options:
+                    if (c := length(option)) < cost - 1e-9:
+                        route, cost, better = option, c, True
+    return cost, route
+
+
+def open_paths(nodes: DataFrame, group: list[str], max_nodes: int = MAX_NODES) -> DataFrame:
+    """``shortest_open_path`` for groups of up to ``max_nodes`` nodes, ``improved_path`` over all nodes above: adds method, exact or heuristic."""
+    nodes = written(nodes.select(*group, "idx", *XYZ), "open-path-nodes")
+    sizes = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    small = nodes.join(sizes.where(F.col("n") <= max_nodes), group, "left_semi")
+    large = nodes.join(sizes.where(F.col("n") > max_nodes), group, "left_semi")
+    exact = shortest_open_path(small, group, max_nodes).withColumn("method", F.lit("exact"))
+    types = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        cost, route = improved_path(list(rows[list(XYZ)].itertuples(index=False, name=None)))
+        return pd.DataFrame([[*key, len(rows), cost, [int(rows.idx.iloc[i]) for i in route], "heuristic"]], columns=[*group, "n_nodes", "cost", "route", "method"])
+
+    schema = ", ".join([*(f"{g} {types[g]}" for g in group), f"n_nodes long, cost double, route array<{types['idx']}>, method string"])
+    return exact.unionByName(large.groupBy(*group).applyInPandas(run, schema))
+
+
 def farthest_points(points: DataFrame, group: list[str], id_col: str, k: int) -> DataFrame:
     """Greedy max-min selection of ``k`` points of each group, from the smallest id on: group, id, place, gap.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from viewmill.functions.scalar import binary_entropy, occupancy_class
 from viewmill.operators.cover import greedy_cover
 from viewmill.operators.geometry import rotate, sphere_pose, voxel_keys
-from viewmill.operators.path import farthest_points, representatives, shortest_open_path
+from viewmill.operators.path import farthest_points, open_paths, representatives
 from viewmill.plans.coverage import OBJECT, VIEW, VOXEL, cache_points, candidates, first_view, views
 from viewmill.plans.records import POINTS_SQL
 from viewmill.plans.sequences import SQL as SEQUENCE_SQL
@@ -34,13 +34,13 @@ def residual_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def open_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest way over the first seven views that each run chose, from the first one on."""
+    """Shortest way over all views that each run chose, from the first one on; ``method`` tells exact from heuristic."""
     steps = run_steps(spark, sf_dir).where("oracle_nbv_view_id between 0 and 127")
     once = steps.groupBy("run_id", "start_view_id", "oracle_nbv_view_id").agg(F.min("step_id").alias("step_id"))
     idx = F.row_number().over(Window.partitionBy("run_id", "start_view_id").orderBy("step_id", "oracle_nbv_view_id")) - 1
-    nodes = once.withColumn("idx", idx).where("idx < 7").withColumns(sphere_pose(F.col("oracle_nbv_view_id"), 128, 1.0))
-    out = shortest_open_path(nodes.select("run_id", "start_view_id", "idx", "x", "y", "z"), ["run_id", "start_view_id"])
-    return out.select("run_id", "start_view_id", "n_nodes", F.round("cost", 6).alias("cost"))
+    nodes = once.withColumn("idx", idx).withColumns(sphere_pose(F.col("oracle_nbv_view_id"), 128, 1.0))
+    out = open_paths(nodes.select("run_id", "start_view_id", "idx", "x", "y", "z"), ["run_id", "start_view_id"])
+    return out.select("run_id", "start_view_id", "n_nodes", F.round("cost", 6).alias("cost"), "method")
 
 
 def farthest_views(spark: SparkSession, sf_dir: str) -> DataFrame:
