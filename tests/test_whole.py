@@ -1,5 +1,6 @@
 """Queries that give the whole result: nothing capped, sharded away or left out."""
 
+import inspect
 import itertools
 import math
 import random
@@ -51,3 +52,23 @@ def test_open_path_of_a_run_with_many_views(spark, monkeypatch):
     steps = spark.createDataFrame([("r", 0, i, 10 * i) for i in range(11)], "run_id string, start_view_id int, step_id int, oracle_nbv_view_id int")
     monkeypatch.setattr(planning, "run_steps", lambda *_: steps)
     assert [(r.n_nodes, r.method) for r in planning.open_path(spark, D).collect()] == [(11, "heuristic")]
+
+
+def test_view_clusters_run_all_rounds(spark, monkeypatch):
+    seen = []
+    signature = inspect.signature(path.representatives)
+
+    def spy(*args, **named):
+        call = signature.bind(*args, **named)
+        call.apply_defaults()
+        seen.append(call.arguments["rounds"])
+        return args[0]
+
+    monkeypatch.setattr(planning, "representatives", spy)
+    planning.view_clusters(spark, D)
+    assert seen == [15]
+
+
+def test_points_are_tiled_to_2048(spark):
+    got = registry.queries()["tiled_points_2048"](spark, D).collect()
+    assert got and all(r.n_rows >= 2048 > r.n_rows - r.n_points and r.n_rows % r.n_points == 0 for r in got)

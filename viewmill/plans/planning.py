@@ -102,7 +102,7 @@ def view_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three representative views of each object by position."""
     ids = views(spark, sf_dir).select("obj", "view_number").distinct().where("view_number between 0 and 127")
     posed = ids.withColumns(sphere_pose(F.col("view_number"), 128, 1.0))
-    return representatives(posed, ["obj"], "view_number", 3, 5)
+    return representatives(posed, ["obj"], "view_number", 3)
 
 
 def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,18 +150,27 @@ def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends[0].unionByName(ends[1])
 
 
-def tiled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of each object repeated in order up to a multiple that reaches 64 (X32): rows and distinct points."""
+def _tiled(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     points = cache_points(spark, sf_dir).select("obj", "x", "y", "z").distinct()
     n = points.groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
-    times = F.ceil(F.lit(64) / F.col("n")).cast("int")
+    times = F.ceil(F.lit(size) / F.col("n")).cast("int")
     tiled = points.join(n, "obj").withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     return tiled.groupBy("obj").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("x", "y", "z").alias("n_points"))
 
 
+def tiled_points_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each object repeated in order up to a multiple that reaches 2048 (X32): rows and distinct points."""
+    return _tiled(spark, sf_dir, 2048)
+
+
+def tiled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tiled_points_2048`` with multiples that reach 64; its SQL is fixed to them."""
+    return _tiled(spark, sf_dir, 64)
+
+
 QUERIES = {f.__name__: f for f in (
     max_coverage, residual_cover, open_path, farthest_views, topk_accuracy, bucket_quotas, occupancy_map, ray_walk,
-    view_clusters, stop_reasons, fallback_order, fallback_order_all, top_examples, tiled_points,
+    view_clusters, stop_reasons, fallback_order, fallback_order_all, top_examples, tiled_points, tiled_points_2048,
 )}
 
 _GOLDEN = math.pi * (3 - math.sqrt(5))
@@ -190,6 +199,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pool_type ORDER BY b, member_id)
 SELECT 'low' AS "end", pool_type, lo AS k, member_id FROM r WHERE lo <= 5 UNION ALL SELECT 'high', pool_type, hi, member_id FROM r WHERE hi <= 5""",
     "tiled_points": POINTS_SQL + """, q AS (SELECT DISTINCT obj, x, y, z FROM points), n AS (SELECT obj, count(*) AS n FROM q GROUP BY obj)
 SELECT obj, (n * ceil(64 / n::DOUBLE))::BIGINT AS n_rows, n AS n_points FROM n""",
+    "tiled_points_2048": POINTS_SQL + """, q AS (SELECT DISTINCT obj, x, y, z FROM points), n AS (SELECT obj, count(*) AS n FROM q GROUP BY obj)
+SELECT obj, (n * ceil(2048 / n::DOUBLE))::BIGINT AS n_rows, n AS n_points FROM n""",
     "topk_accuracy": _CAND + """, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY gain DESC, view_id) AS rank FROM c)
 SELECT count(*) AS n, round(avg(coalesce((rank <= 1)::INTEGER, 0)), 6) AS top1, round(avg(coalesce((rank <= 3)::INTEGER, 0)), 6) AS top3, round(avg(coalesce((rank <= 5)::INTEGER, 0)), 6) AS top5
 FROM method_steps m LEFT JOIN r ON m.row_id = r.row_id AND m.oracle_nbv_view_id = r.view_id WHERE oracle_nbv_view_id IS NOT NULL""",
