@@ -51,6 +51,35 @@ def test_few_files_and_no_loss(spark):
     assert spark.read.parquet(path).agg({"id": "sum"}).first()[0] == sum(range(20000))
 
 
+def test_a_target_that_exists_is_refused(spark):
+    path = scratch_path(spark, "twice")
+    compact.consolidate(spark.range(10), path)
+    with pytest.raises(FileExistsError):
+        compact.consolidate(spark.range(40), path)
+    assert spark.read.parquet(path).count() == 10 and not [d for d in os.listdir(os.path.dirname(path)) if "twice" in d and "staging" in d]
+
+
+def test_target_size_stays_out_of_the_session(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, path = spark.conf.get(key), scratch_path(spark, "sized")
+    compact.consolidate(spark.range(400_000).selectExpr("uuid() as u", "id"), path, 2 << 20)
+    assert spark.conf.get(key) == before and spark.read.parquet(path).count() == 400_000
+    sizes = [os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(sizes) > 2 and max(sizes) < 3 * (sum(sizes) / len(sizes))
+
+
+def test_unidentified_files_without_id_stay_apart(spark):
+    out = compact.consolidate_view_cache(listing(spark, [(None, "a", "view_1", ""), (None, "a", "view_2", ""), (None, "a", "view_2", "")]))
+    assert out["members"].count() == out["records"].count() == 2
+
+
+def test_hot_record_is_salted(spark):
+    rows = [(i, "a", "view_1", "1 2 3") for i in range(40)] + [(i, "b", "view_1", "1 2 3") for i in (50, 51)]
+    members = compact.cache_members(listing(spark, rows))
+    got = [tuple(r) for r in compact.copy_pairs(members, hot=7).collect()]
+    assert sorted(got) == sorted([(a, b) for a in range(40) for b in range(a + 1, 40)] + [(50, 51)])
+
+
 def test_nothing_committed_when_rows_differ(spark, monkeypatch):
     path = scratch_path(spark, "bad")
     real, calls = compact.multiset_checksum, []
