@@ -9,7 +9,7 @@ from viewmill.llm.bpe import decode_ids, encode_texts
 from viewmill.llm.leak import decontaminated, leaks
 from viewmill.llm.overlap import cross_split_pairs
 from viewmill.llm.percentiles import digit_parts, ordered_bits, saturation_percentiles, saturation_values
-from viewmill.llm.quota import categorised, draw, quotas, strata
+from viewmill.llm.quota import categorised, draw, quotas, report, strata
 from viewmill.llm.toxicity import LIMIT, document_scores
 from viewmill.llm.topn import top_candidates
 from viewmill.session import table, written
@@ -60,20 +60,19 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, lines = _lines(spark, sf_dir)
-    return lines.where("available < wanted").select("request_id", "shape_type", "fill_bucket")
+    """Lines that fall short after quotas were allocated and objects drawn."""
+    return report(*_lines(spark, sf_dir)).where("shortfall > 0").select("request_id", "shape_type", "fill_bucket")
 
 
 def p5_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quota and shortfall of each line of target_mix."""
-    _, lines = _lines(spark, sf_dir)
-    shortfall = F.greatest(F.col("wanted") - F.col("available"), F.lit(0)).alias("shortfall")
-    return quotas(lines).select("request_id", "shape_type", "fill_bucket", "wanted", "available", "quota", shortfall)
+    """Quota, drawn objects and shortfall of each line of target_mix."""
+    lines = report(*_lines(spark, sf_dir))
+    return lines.select("request_id", "shape_type", "fill_bucket", "wanted", "available", "quota", "n_drawn", "shortfall")
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects, lines = _lines(spark, sf_dir)
-    return draw(objects, quotas(lines))
+    return draw(objects, quotas(lines)).select("request_id", "shape_type", "fill_bucket", "uid", "draw_rank")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +189,7 @@ WITH o AS (
   SELECT {_CATEGORY.format('shape_type')} AS s, {_CATEGORY.format('fill_bucket')} AS f, count(DISTINCT {_TRIM.format('uid')}) AS n
   FROM annotations GROUP BY ALL),
 l AS (
-  SELECT t.request_id, t.shape_type, t.fill_bucket, coalesce(o.n, 0) AS available,
+  SELECT t.request_id, t.shape_type, t.fill_bucket, o.s, o.f, t.target_share AS share, t.min_count, t.target_n, coalesce(o.n, 0) AS available,
     greatest(t.min_count, round(t.target_share * t.target_n))::BIGINT AS wanted
   FROM target_mix t LEFT JOIN o ON o.s = {_CATEGORY.format('t.shape_type')} AND o.f = {_CATEGORY.format('t.fill_bucket')})
 """
@@ -212,5 +211,20 @@ SELECT uid, item_rank, run_id, start_view_id, step_id, candidate_view_id FROM r
     "p2_percentiles": _P2 + "SELECT batch_id, metric, pct, n_values, value FROM p",
     "p3_found": _P3 + "SELECT DISTINCT least(em, tm) AS member_id_a, greatest(em, tm) AS member_id_b FROM x",
     "p3_report": _P3 + "SELECT split_name, origin, count(DISTINCT em) AS n_members, count(*) AS n_pairs FROM (SELECT DISTINCT * FROM x) GROUP BY ALL",
+    "p5_quotas": _P5
+    + """, b AS (SELECT *, share * target_n AS ideal, least(min_count, available)::DOUBLE AS lo, available::DOUBLE AS hi FROM l),
+pt AS (SELECT DISTINCT request_id, unnest([lo / ideal, hi / ideal]) AS sc FROM b WHERE ideal > 0),
+ev AS (SELECT pt.request_id, sc, max(target_n) AS size, sum(greatest(lo, least(hi, sc * ideal))) AS tot FROM pt JOIN b USING (request_id) GROUP BY ALL),
+sg AS (SELECT *, lead(sc) OVER w AS sc2, lead(tot) OVER w AS tot2 FROM ev WINDOW w AS (PARTITION BY request_id ORDER BY sc)),
+scale AS (SELECT request_id, min(CASE WHEN tot2 > tot THEN sc + (size - tot) * (sc2 - sc) / (tot2 - tot) ELSE sc END) AS scale
+  FROM sg WHERE tot <= size AND tot2 >= size GROUP BY 1),
+x AS (SELECT b.*, CASE WHEN sum(hi) OVER r <= target_n THEN hi WHEN sum(lo) OVER r >= target_n THEN lo
+    ELSE greatest(lo, least(hi, coalesce(scale, 0) * ideal)) END AS exact
+  FROM b LEFT JOIN scale USING (request_id) WINDOW r AS (PARTITION BY request_id)),
+y AS (SELECT *, floor(exact + 1e-9) AS base FROM x),
+z AS (SELECT *, base < hi AND ideal > 0 AS grows, greatest(target_n - sum(base) OVER (PARTITION BY request_id), 0) AS rest FROM y),
+q AS (SELECT *, (base + CASE WHEN grows AND row_number() OVER (PARTITION BY request_id ORDER BY grows DESC, round(exact - base, 9) DESC,
+    s NULLS FIRST, f NULLS FIRST, shape_type, fill_bucket) <= rest THEN 1 ELSE 0 END)::BIGINT AS quota FROM z)
+SELECT request_id, shape_type, fill_bucket, wanted, available, quota, least(quota, available) AS n_drawn, greatest(wanted - available, 0) AS shortfall FROM q""",
     "p5_found": _P5 + "SELECT request_id, shape_type, fill_bucket FROM l WHERE available < wanted",
 }

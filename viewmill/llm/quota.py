@@ -105,7 +105,7 @@ def random_key(seed: int) -> Column:
 
 
 def draw(objects: DataFrame, allotted: DataFrame, seed: int = 42) -> DataFrame:
-    """The sampled objects of each request: request_id, shape_type, fill_bucket, uid, draw_rank.
+    """The sampled objects: the columns of their line but for the category keys, uid, draw_rank.
 
     A histogram of the leading key bits bounds, for each category, the keys that the largest quota can
     reach; only those rows are sorted, and ``positions`` numbers them across partitions, so a category
@@ -119,9 +119,21 @@ def draw(objects: DataFrame, allotted: DataFrame, seed: int = 42) -> DataFrame:
     reach = written(needed.groupBy(*CATEGORY).agg(F.max("bin").alias("last_bin")), "quota-reach")
     near = keyed.join(broadcast_if_small(reach), CATEGORY).where("bin <= last_bin").select(*CATEGORY, "key", "uid")
     ranked = positions(near, CATEGORY, [F.asc("key"), F.asc("uid")], None, "draw_rank")
-    lines = written(allotted.select("request_id", "shape_type", "fill_bucket", *CATEGORY, "quota"), "quota-lines")
-    return (
-        ranked.join(broadcast_if_small(lines), CATEGORY)
-        .where("draw_rank <= quota")
-        .select("request_id", "shape_type", "fill_bucket", "uid", "draw_rank")
-    )
+    lines = written(allotted, "quota-lines")
+    return ranked.join(broadcast_if_small(lines), CATEGORY).where("draw_rank <= quota").select(*lines.columns, "uid", "draw_rank").drop(*CATEGORY)
+
+
+def report(objects: DataFrame, lines: DataFrame, seed: int = 42) -> DataFrame:
+    """The lines with their quota, how many were drawn for it, and the shortfall against what the line needs.
+
+    Of each category the smallest keys are drawn up to the larger of quota and need; the quota's sample are the
+    first of them, and a line falls short by as many as are missing from its need.
+    """
+    allotted = written(quotas(lines).withColumnRenamed("quota", "allotted"), "quota-allotted")
+    drawn = draw(objects, allotted.withColumn("quota", F.greatest("allotted", "wanted")), seed)
+    line = ["request_id", "shape_type", "fill_bucket"]
+    counts = drawn.groupBy(*line).agg(F.count_if(F.col("draw_rank") <= F.col("allotted")).alias("n_drawn"), F.count_if(F.col("draw_rank") <= F.col("wanted")).alias("n_met"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in line]
+    met, n_drawn = F.coalesce("c.n_met", F.lit(0)), F.coalesce("c.n_drawn", F.lit(0)).alias("n_drawn")
+    both = allotted.alias("l").join(counts.alias("c"), on, "left")
+    return both.select("l.*", n_drawn, (F.col("wanted") - met).alias("shortfall")).withColumnRenamed("allotted", "quota")
