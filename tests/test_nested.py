@@ -89,3 +89,56 @@ def test_dirty_cases(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id long, raw_json string")
     assert list_occurrences(shred(df)).count() == 0
+
+
+def rebuilt(tables, record_id):
+    """The record from its tables: fields under their canonical names, scalars as text."""
+    objects = {bytes(r.object_id): r.attrs for r in tables["objects"].collect()}
+    lists, links = {}, {}
+    for r in tables["lists"].collect():
+        lists.setdefault(bytes(r.list_id), {})[r.elem_pos] = r.elem
+    for r in tables["bridge"].collect():
+        links.setdefault(bytes(r.parent_id), []).append((r.field, r.ordinal, bytes(r.child_id)))
+
+    def node(i):
+        if i in lists:
+            return [lists[i][k] for k in sorted(lists[i])]
+        out = dict(objects.get(i, {}))
+        for field, ordinal, child in sorted(links.get(i, [])):
+            out.setdefault(field, []).append((ordinal, node(child)))
+        return out
+
+    roots = {r.record_id: bytes(r.root_id) for r in tables["occurrences"].collect()}
+    return node(roots[record_id])
+
+
+def test_any_depth_keeps_its_links(spark):
+    deep = {"a": {"bC": [{"d": [1, 2.0, "x"]}, None, {"d": [[1], [2, {"e": True}]]}], "f": {"g": {"h": None, "i": "3.50"}}}, "tags": [{"k": 1}, 7]}
+    same = json.dumps({"tags": [{"k": "1.0"}, "7"], "a": {"f": {"g": {"i": 3.5}}, "b_c": [{"d": ["1", 2, " x"]}, None, {"d": {"0": [1.0], "1": [2, {"e": True}]}}]}})
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, same), (3, same.replace("3.5", "3.6"))], "record_id long, raw_json string")
+    tables = {k: v.cache() for k, v in shred(df).items()}
+    got = rebuilt(tables, 1)
+    assert got == rebuilt(tables, 2) != rebuilt(tables, 3)
+    assert got["tags"] == [(-1, [None, "7"]), (0, {"k": "1"})] and got["a"][0][1]["f"] == [(0, {"g": [(0, {"i": "3.5"})]})]
+    first, third = got["a"][0][1]["b_c"]
+    assert first == (0, {"d": [(0, ["1", "2", "x"])]}) and third[0] == 2
+    assert third[1]["d"] == [(0, {"d": [(0, ["1"])]}), (1, {"d": [(-1, ["2", None]), (1, {"e": "true"})]})]
+    roots = {r.record_id: bytes(r.root_id) for r in tables["occurrences"].collect()}
+    assert roots[1] == roots[2] != roots[3]
+    assert tables["objects"].where("kind = 'g'").count() == 2  # of three occurrences two are the same
+
+
+def test_shared_subtrees_are_salted(spark):
+    text = json.dumps({"rollouts": [{"steps": [{"visited_view_ids": [1, 2]}] * 3}]})
+    df = spark.createDataFrame([(i, text) for i in range(50)], "record_id long, raw_json string")
+    tables = shred(df)
+    assert tables["objects"].count() == 3 and tables["lists"].count() == 2
+    want = [(i, 0, s, k, k + 1) for i in range(50) for s in range(3) for k in range(2)]
+    assert rows(list_occurrences(tables, hot=20)) == want == rows(list_occurrences(tables))
+
+
+def test_sessions_keep_their_settings(spark):
+    key = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(key, None)
+    shred(spark.createDataFrame([(1, "{}")], "record_id long, raw_json string"))
+    assert spark.conf.get(key, None) == before

@@ -1,274 +1,261 @@
 """Deeply nested JSON records into flat tables that keep parent and child together (problem 6).
 
-Every record becomes a tree file > rollouts > steps > lists. Field names are brought to snake case,
-scalars to one spelling, and each object gets the hash of its own scalars and of its children's
-hashes in order (bottom up). Equal subtrees therefore get equal ids wherever and however they were
-written, are stored once, and every occurrence stays as bridge rows parent, field, ordinal, child.
+Every record becomes a tree of objects and lists of any depth. Field names are brought to snake case, scalars
+to one spelling, and each object and list gets the hash of its own scalars and of its children's hashes in
+order (bottom up). Equal subtrees therefore get equal ids wherever and however they were written, are stored
+once, and every occurrence stays as bridge rows parent, field, ordinal, child.
 
-Tables (``shred``)
+Tables (``shred``); ids are 16 bytes
 * ``occurrences``  record_id, root_id
-* ``objects``      object_id, kind (file, rollout, step), attrs map<string,string>
-* ``bridge``       parent_id, field, ordinal, child_id
-* ``lists``        list_id, elem_pos, elem (null elements keep their position)
+* ``objects``      object_id, kind (``file`` for the root, else its field's name without a final s), attrs map<string,string>
+* ``bridge``       parent_id, field, ordinal, child_id; the child is an object or a list
+* ``lists``        list_id, elem_pos, elem: the scalars of a list (null elements keep their position)
+
+A list of objects has no row of its own: its objects hang on the parent by their position, null elements
+leave a gap. Scalars between objects form a list with gaps, at ordinal -1. A list of scalars hangs at
+ordinal 0; lists in a list hang on the same field by their position.
+
+A task parses a record, hashes it bottom up and gives each different subtree of a batch once; the nodes are
+written once to the shared folder, and Spark removes what several batches share, by hash.
 
 Defined results
-* text that isn't one complete JSON value (null, empty, cut off, followed by more) gives no rows; a
+* text that isn't one complete JSON object (null, empty, cut off, followed by more) gives no rows; a
   byte order mark and NaN or Infinity literals are tolerated, the latter as null;
 * text encoded twice, a record inside one outer field, a level written as an object with numeric keys
-  (order of the numbers), a single object in place of a list and a list written as a string are read
+  (order of the numbers), a single object in place of a level's list and a list written as a string are read
   as what they stand for; null, missing and empty levels have no children;
-* of a key that stands twice the last counts; repeated rows of one record_id with equal text are one;
-* redelivered records share one root_id and keep one occurrence each.
+* of a key that stands twice the last counts, of two spellings of a name the first that isn't null;
+* repeated rows of one record_id with equal text are one;
+* redelivered records share one root_id and keep one occurrence each;
+* JSON that nests deeper than the parser's recursion limit counts as unreadable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from viewmill.session import spread, written
-
-LIST_FIELDS = (
-    "visited_view_ids",
-    "candidate_view_ids",
-    "candidate_marginal_gains",
-    "residual_set_cover_view_ids",
-)
-
-
-def as_object(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'map<string,variant>')"
-
-
-def as_array(v: str) -> str:
-    return f"try_variant_get({v}, '$', 'array<variant>')"
-
-
-def bind(expr: str, name: str, body: str) -> str:
-    """SQL for ``body`` with ``name`` standing for the value of ``expr``, which is evaluated once."""
-    return f"get(transform(array({expr}), {name} -> {body}), 0)"
-
-
-def whole_json(text: str) -> str:
-    """SQL for an array with the value of a text that is exactly one JSON value; else null or of another size.
-
-    The brackets make the parser see text that follows the first value.
-    """
-    plain = f"regexp_replace({text}, '^\\\\uFEFF', '')"
-    mended = f"regexp_replace({plain}, '(?<=[:,\\\\[])\\\\s*(NaN|-?Infinity)(?=\\\\s*[,\\\\]}}])', 'null')"
-    return "coalesce(" + ", ".join(as_array(f"try_parse_json(concat('[', {t}, ']'))") for t in (plain, mended)) + ")"
-
-
-def decoded(v: str) -> str:
-    """SQL: a JSON text inside a string becomes its value; anything else stays."""
-    parsed = bind(whole_json(f"try_variant_get({v}, '$', 'string')"), "dj", "case when size(dj) = 1 then dj[0] end")
-    return f"case when schema_of_variant({v}) = 'STRING' then coalesce({parsed}, {v}) else {v} end"
-
-
-def listed(v: str) -> str:
-    """SQL for the children of a level, however it was written, as array<variant>."""
-    entries = "transform(map_entries(lo), e -> struct(cast(e.key as decimal(38,0)) as k, e.value as v))"
-    in_order = f"transform(array_sort({entries}, (a, b) -> case when a.k < b.k then -1 when a.k > b.k then 1 else 0 end), e -> e.v)"
-    from_object = bind(
-        as_object(v),
-        "lo",
-        f"case when size(lo) > 0 and forall(map_keys(lo), k -> k rlike '^[0-9]+$') then {in_order} "
-        f"when size(lo) > 0 then array({v}) else cast(array() as array<variant>) end",
-    )
-    return f"coalesce({as_array(v)}, {from_object})"
-
-
-def snake(key: str) -> str:
-    return f"lower(regexp_replace({key}, '(?<=[a-z0-9])([A-Z])', '_$1'))"
-
+import hashlib
+import json
+import re
+from collections.abc import Iterable, Iterator
+from typing import Any
 
-def canonical_text(text: str) -> str:
-    """SQL for one spelling of a scalar's text: 12, 12.0 and "12" are the same number, "" is nothing."""
-    spelled = (
-        "case when ct = '' or lower(ct) in ('null', 'none') then null "
-        "when ct rlike '^[-+]?[0-9]{1,15}$' then cast(cast(ct as bigint) as string) "
-        "when ct rlike '^[-+.0-9eE]+$' then "
-        + bind(
-            "try_cast(ct as double)",
-            "cn",
-            "case when cn = floor(cn) and abs(cn) < 1e15 then cast(cast(cn as bigint) as string) when cn is not null then cast(cn as string) else ct end",
-        )
-        + " else ct end"
-    )
-    return bind(f"trim({text})", "ct", spelled)
-
-
-def canonical_scalar(v: str) -> str:
-    """SQL for one spelling of a variant's value; a JSON null is nothing."""
-    return f"case when is_variant_null({v}) then null else {canonical_text(f"try_variant_get({v}, '$', 'string')")} end"
-
-
-def elements(v: str) -> str:
-    """SQL for the elements of a list as array<string>, also of one written as an object or as plain text.
-
-    Lists of plain integers, the usual case, need no look at each element.
-    """
-    plain = f"regexp_replace(trim(try_variant_get({v}, '$', 'string')), '^[\\\\[(]\\\\s*|\\\\s*[\\\\])]$', '')"
-    parts = "split(pt, case when pt rlike '[,;|]' then '[,;|]' else '\\\\s+' end)"
-    from_text = bind(plain, "pt", f"case when pt = '' then cast(array() as array<string>) else transform({parts}, x -> {canonical_text('x')}) end")
-    from_array = bind(as_array(v), "ea", f"transform(ea, x -> {canonical_scalar('x')})")
-    kind = (
-        f"case when kind = 'ARRAY<BIGINT>' then cast(try_variant_get({v}, '$', 'array<bigint>') as array<string>) "
-        f"when kind like 'ARRAY%' then {from_array} "
-        f"when kind like 'OBJECT%' then transform({listed(v)}, x -> {canonical_scalar('x')}) else {from_text} end"
-    )
-    return f"case when {v} is null or is_variant_null({v}) then null else {bind(f'schema_of_variant({v})', 'kind', kind)} end"
-
-
-def fields_of(v: str) -> str:
-    """SQL: the fields of object ``v`` under snake-case names; of two spellings the first non-null counts."""
-    pairs = f"transform(map_entries(fo), e -> struct({snake('e.key')} as k, e.value as v))"
-    full = "get(transform(filter(fp, e -> e.k = name and not is_variant_null(e.v)), e -> e.v), 0)"
-    renamed = bind(pairs, "fp", f"{bind('array_distinct(transform(fp, e -> e.k))', 'fk', f'map_from_arrays(fk, transform(fk, name -> {full}))')}")
-    plain = f"forall(map_keys(fo), k -> k = {snake('k')})"
-    return bind(as_object(v), "fo", f"case when {plain} then fo else {renamed} end")
-
-
-def attributes(fields: str, children: tuple[str, ...]) -> str:
-    """SQL: canonical scalars of an object, without its child levels and without nulls."""
-    names = ", ".join(f"'{c}'" for c in children)
-    kept = f"map_filter({fields}, (k, v) -> k not in ({names}))"
-    spelled = f"transform_values({kept}, (k, v) -> {canonical_scalar('v')})"
-    return f"map_from_entries(array_sort(map_entries(map_filter({spelled}, (k, v) -> v is not null))))"
-
-
-def digest(*parts: Column) -> Column:
-    """Hash of the parts in order; a missing part differs from an empty one."""
-    return F.sha2(F.concat_ws("\x1f", *(F.coalesce(p, F.lit("\x00")) for p in parts)), 256)
-
-
-def exploded_steps(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """One row for each step (or childless rollout, or childless record), without any shuffle."""
-    records.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    # Exploding the bracketed value is what keeps the parsed text from being evaluated again below.
-    one = bind(whole_json("t"), "wj", "case when size(wj) = 1 then wj else cast(array() as array<variant>) end")
-    root = spread(records.select(F.col(id_col).alias("record_id"), F.col(json_col).alias("t"))).select("record_id", F.explode(F.expr(one)).alias("v"))
-    again = bind(decoded("v"), "d1", decoded("d1"))
-    has_rollouts = f"exists(map_keys({fields_of('x')}), k -> k = 'rollouts')"
-    inner = f"filter(transform(map_values(om), y -> {decoded('y')}), x -> coalesce({has_rollouts}, false))"
-    unwrapped = bind(as_object("u"), "om", f"case when exists(map_keys(om), k -> lower(k) = 'rollouts') then u else coalesce(get({inner}, 0), u) end")
-    plain = "try_variant_get(v, '$.rollouts', 'variant') is not null"
-    whole = f"case when {plain} then v else {bind(again, 'u', unwrapped)} end"
-    fields = bind(whole, "w", fields_of("w"))
-    root = root.select("record_id", F.explode(F.expr(f"array_compact(array({fields}))")).alias("f"))
-    rollouts = root.select(
-        "record_id",
-        F.expr(attributes("f", ("rollouts",))).alias("file_attrs"),
-        F.expr(decoded("f['rollouts']")).alias("level"),
-    ).select("record_id", "file_attrs", F.posexplode_outer(F.expr(listed("level"))).alias("rollout_pos", "r"))
-    steps = rollouts.select(
-        "record_id", "file_attrs", "rollout_pos", F.expr(fields_of("r")).alias("f")
-    ).select(
-        "record_id",
-        "file_attrs",
-        "rollout_pos",
-        F.expr(attributes("f", ("steps",))).alias("rollout_attrs"),
-        F.expr(decoded("f['steps']")).alias("level"),
-    )
-    steps = steps.select(
-        "record_id",
-        "file_attrs",
-        "rollout_pos",
-        "rollout_attrs",
-        F.posexplode_outer(F.expr(listed("level"))).alias("step_pos", "s"),
-    )
-    fields = steps.withColumn("f", F.expr(fields_of("s"))).drop("s")
-    decoded_lists = fields.withColumns({name: F.expr(decoded(f"f['{name}']")) for name in LIST_FIELDS})
-    return decoded_lists.select(
-        "record_id",
-        "file_attrs",
-        "rollout_pos",
-        "rollout_attrs",
-        "step_pos",
-        F.expr(attributes("f", LIST_FIELDS)).alias("step_attrs"),
-        *(F.expr(elements(n)).alias(n) for n in LIST_FIELDS),
-    )
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from viewmill.operators.salted import salted_join
+from viewmill.session import scratch_path, spread
 
-def shred(records: DataFrame, id_col: str = "record_id", json_col: str = "raw_json") -> dict[str, DataFrame]:
-    """The four tables of the module's docstring.
+#: Fields whose value is a list even where it is written as one object, and those whose plain text is a list.
+LEVELS = ("rollouts", "steps")
+LIST_FIELDS = ("visited_view_ids", "candidate_view_ids", "candidate_marginal_gains", "residual_set_cover_view_ids")
 
-    Parsing and exploding need no shuffle. The steps are written once to the shared folder; the
-    hashes of rollouts and files gather only child hashes, and duplicates are removed by hash with
-    map-side aggregation, so a subtree that a third of the records repeat costs one row per task.
-    """
-    base = written(exploded_steps(records, id_col, json_col), "shred-steps")
-    attrs_text = lambda c: F.to_json(F.col(c))
-    list_id = lambda n: F.when(F.col(n).isNotNull(), digest(F.lit("list"), F.to_json(F.col(n), {"ignoreNullFields": "false"})))
-    steps = base.withColumns({f"{n}_id": list_id(n) for n in LIST_FIELDS})
-    is_step = F.col("step_pos").isNotNull()
-    steps = steps.withColumn(
-        "step_id", F.when(is_step, digest(F.lit("step"), attrs_text("step_attrs"), *(F.col(f"{n}_id") for n in LIST_FIELDS)))
-    )
-    in_order = lambda pos, child: F.array_sort(F.collect_set(F.when(F.col(pos).isNotNull(), F.struct(pos, child))))
-    rollouts = (
-        steps.groupBy("record_id", "rollout_pos")
-        .agg(
-            F.first("file_attrs").alias("file_attrs"),
-            F.first("rollout_attrs").alias("rollout_attrs"),
-            in_order("step_pos", "step_id").alias("children"),
-        )
-        .withColumn(
-            "rollout_id",
-            F.when(
-                F.col("rollout_pos").isNotNull(),
-                digest(F.lit("rollout"), attrs_text("rollout_attrs"), F.to_json("children")),
-            ),
-        )
-    )
-    files = (
-        rollouts.groupBy("record_id")
-        .agg(F.first("file_attrs").alias("file_attrs"), in_order("rollout_pos", "rollout_id").alias("children"))
-        .withColumn("root_id", digest(F.lit("file"), attrs_text("file_attrs"), F.to_json("children")))
-    )
+CAPITAL = re.compile(r"(?<=[a-z0-9])([A-Z])")
+INTEGER = re.compile(r"[-+]?[0-9]{1,15}\Z")
+NUMBER = re.compile(r"[-+.0-9eE]+\Z")
+BRACKETS = re.compile(r"\A[\[(]\s*|\s*[\])]\Z")
+SEPARATOR = re.compile(r"[,;|]")
 
-    def objects(df: DataFrame, key: str, kind: str, attrs: str) -> DataFrame:
-        once = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("object_id"))
-        return once.agg(F.first(attrs).alias("attrs")).select("object_id", F.lit(kind).alias("kind"), "attrs")
-
-    def links(df: DataFrame, parent: str, field: str) -> DataFrame:
-        once = df.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("parent_id")).agg(F.first("children").alias("c"))
-        pos, child = ("step_pos", "step_id") if field == "steps" else ("rollout_pos", "rollout_id")
-        rows = once.select("parent_id", F.explode("c").alias("c"))
-        return rows.select("parent_id", F.lit(field).alias("field"), F.col(f"c.{pos}").alias("ordinal"), F.col(f"c.{child}").alias("child_id"))
-
-    list_refs = F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"{n}_id").alias("child_id"), F.col(n).alias("elems")) for n in LIST_FIELDS))
-    step_lists = steps.where(is_step).select("step_id", F.explode(list_refs).alias("l")).where("l.child_id is not null")
-    list_links = step_lists.select(
-        F.col("step_id").alias("parent_id"), F.col("l.field").alias("field"), F.lit(0).alias("ordinal"), F.col("l.child_id").alias("child_id")
-    ).distinct()
-    values = (
-        step_lists.groupBy(F.col("l.child_id").alias("list_id"))
-        .agg(F.first("l.elems").alias("elems"))
-        .select("list_id", F.posexplode("elems").alias("elem_pos", "elem"))
-    )
+OCCURRENCE, OBJECT, LIST = 0, 1, 2
+NODES = (
+    "kind_of_row byte, record_id long, id binary, kind string, attrs map<string,string>, "
+    "links array<struct<field: string, ordinal: int, child: binary>>, elems array<string>"
+)
+ARROW_NODES = pa.schema(
+    [
+        ("kind_of_row", pa.int8()), ("record_id", pa.int64()), ("id", pa.binary()), ("kind", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+        ("links", pa.list_(pa.struct([("field", pa.string()), ("ordinal", pa.int32()), ("child", pa.binary())]))), ("elems", pa.list_(pa.string())),
+    ]
+)
+
+
+def whole_json(text: str) -> Any:
+    """The value of a text that is exactly one JSON value; else None."""
+    try:
+        return json.loads(text.removeprefix("﻿"), parse_constant=lambda _: None)
+    except (ValueError, RecursionError):
+        return None
+
+
+def decoded(value: Any) -> Any:
+    """A JSON object or list inside a string becomes its value; anything else stays."""
+    if isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
+        inside = whole_json(value)
+        return value if inside is None else inside
+    return value
+
+
+def snake(name: str) -> str:
+    return CAPITAL.sub(r"_\1", name).lower()
+
+
+def fields_of(value: dict[str, Any]) -> dict[str, Any]:
+    """The fields under snake-case names."""
+    out: dict[str, Any] = {}
+    for name, v in value.items():
+        name = snake(name)
+        if out.get(name) is None:
+            out[name] = v
+    return out
+
+
+def scalar(value: Any) -> str | None:
+    """One spelling: 12, 12.0 and "12" are the same number, "" is nothing."""
+    if type(value) is int:
+        return str(value)
+    if value is None or isinstance(value, bool):
+        return None if value is None else str(value).lower()
+    if isinstance(value, str):
+        value = value.strip()
+        if value == "" or value.lower() in ("null", "none"):
+            return None
+        if INTEGER.match(value):
+            return str(int(value))
+        if not NUMBER.match(value):
+            return value
+        try:
+            value = float(value)
+        except ValueError:
+            return value
+    if value - value != 0:  # infinite
+        return None
+    return str(int(value)) if value == int(value) and abs(value) < 1e15 else repr(value)
+
+
+def listed(value: Any) -> list[Any] | None:
+    """A list, or an object with numeric keys as the list in the order of the numbers; else None."""
+    if isinstance(value, dict) and value and all(k.isascii() and k.isdigit() for k in value):
+        return [value[k] for k in sorted(value, key=int)]
+    return value if isinstance(value, list) else None
+
+
+def text_list(value: Any) -> list[Any]:
+    """The elements of a list of scalars that is written as text, or as a single scalar."""
+    if not isinstance(value, str):
+        return [value]
+    plain = BRACKETS.sub("", value.strip())
+    return (SEPARATOR.split(plain) if SEPARATOR.search(plain) else plain.split()) if plain else []
+
+
+def digest(*parts: Any) -> bytes:
+    return hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+class Shredder:
+    """The different nodes of a batch of records, by id."""
+
+    def __init__(self, levels: tuple[str, ...], lists: tuple[str, ...]) -> None:
+        self.levels, self.list_fields = frozenset(levels), frozenset(lists)
+        self.objects: dict[bytes, tuple[str, dict[str, str], list[tuple[str, int, bytes]]]] = {}
+        self.lists: dict[bytes, list[str | None]] = {}
+
+    def root(self, text: str, holder: str | None) -> bytes | None:
+        """The id of a record; ``holder``: the field that a record has, looked for one field deeper if it is missing."""
+        value = whole_json(text)
+        for _ in range(2):
+            value = decoded(value)
+        if not isinstance(value, dict):
+            return None
+        if holder and not any(k.lower() == holder for k in value):
+            inner = (decoded(v) for v in value.values())
+            value = next((v for v in inner if isinstance(v, dict) and holder in fields_of(v)), value)
+        return self.add_object(value, "file")
+
+    def add_object(self, value: dict[str, Any], kind: str) -> bytes:
+        attrs: dict[str, str] = {}
+        links: list[tuple[str, int, bytes]] = []
+        for name, v in fields_of(value).items():
+            if v is None:
+                continue
+            v = decoded(v)
+            elements = listed(v)
+            if elements is None and name in self.levels:
+                elements = [v] if isinstance(v, dict) and v else []
+            elif elements is None and name in self.list_fields and not isinstance(v, dict):
+                elements = text_list(v)
+            if elements is not None:
+                if elements or name not in self.levels:
+                    self.add_list(elements, name, links)
+            elif isinstance(v, dict):
+                links.append((name, 0, self.add_object(v, name.removesuffix("s"))))
+            elif (spelled := scalar(v)) is not None:
+                attrs[name] = spelled
+        links.sort()
+        own = digest(kind, sorted(attrs.items()), links)
+        self.objects.setdefault(own, (kind, attrs, links))
+        return own
+
+    def add_list(self, elements: list[Any], name: str, links: list[tuple[str, int, bytes]]) -> None:
+        """Adds what hangs on the parent for a list."""
+        nested = [(i, e) for i, e in enumerate(elements) if isinstance(e, (dict, list))]
+        for i, e in nested:
+            if (inner := listed(e)) is None:
+                links.append((name, i, self.add_object(e, name.removesuffix("s"))))
+            else:
+                below: list[tuple[str, int, bytes]] = []
+                self.add_list(inner, name, below)
+                own = digest("lists", sorted(below))
+                self.objects.setdefault(own, ("list", {}, sorted(below)))
+                links.append((name, i, own))
+        spelled = [None if isinstance(e, (dict, list)) else scalar(e) for e in elements]
+        if not nested or any(e is not None for e in spelled):
+            own = digest("list", spelled)
+            self.lists.setdefault(own, spelled)
+            links.append((name, -1 if nested else 0, own))
+
+
+def nodes(records: DataFrame, id_col: str, json_col: str, levels: tuple[str, ...], lists: tuple[str, ...]) -> DataFrame:
+    """All nodes, written once, those that several batches have as often; no shuffle but to spread a small scan."""
+    holder = levels[0] if levels else None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shredder, rows = Shredder(levels, lists), []
+            for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (root := shredder.root(text, holder)) is not None:
+                    rows.append((OCCURRENCE, record, root, None, None, None, None))
+            rows += [(OBJECT, None, i, kind, list(attrs.items()), [dict(zip(("field", "ordinal", "child"), x, strict=True)) for x in links], None) for i, (kind, attrs, links) in shredder.objects.items()]
+            rows += [(LIST, None, i, None, None, None, elems) for i, elems in shredder.lists.items()]
+            columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW_NODES)]
+            yield pa.RecordBatch.from_arrays(columns, schema=ARROW_NODES)
+
+    source = spread(records.select(F.col(id_col).cast("long").alias("r"), F.col(json_col).alias("t")).where("t is not null"))
+    path = scratch_path(records.sparkSession, "shred-nodes")
+    source.mapInArrow(run, NODES).write.partitionBy("kind_of_row").parquet(path)
+    return records.sparkSession.read.schema(NODES).parquet(path)
+
+
+def shred(
+    records: DataFrame, id_col: str = "record_id", json_col: str = "raw_json", levels: tuple[str, ...] = LEVELS, lists: tuple[str, ...] = LIST_FIELDS
+) -> dict[str, DataFrame]:
+    """The four tables of the module's docstring."""
+    all_nodes = nodes(records, id_col, json_col, levels, lists)
+    of = lambda kind: all_nodes.where(F.col("kind_of_row") == kind)
+    objects = of(OBJECT).where("kind != 'list'").select(F.col("id").alias("object_id"), "kind", "attrs").dropDuplicates(["object_id"])
+    links = of(OBJECT).select(F.col("id").alias("parent_id"), F.explode("links").alias("l"))
+    elements = of(LIST).select(F.col("id").alias("list_id"), "elems").dropDuplicates(["list_id"])
     return {
-        "occurrences": files.select("record_id", "root_id"),
-        "objects": objects(files, "root_id", "file", "file_attrs")
-        .unionByName(objects(rollouts, "rollout_id", "rollout", "rollout_attrs"))
-        .unionByName(objects(steps, "step_id", "step", "step_attrs")),
-        "bridge": links(files, "root_id", "rollouts").unionByName(links(rollouts, "rollout_id", "steps")).unionByName(list_links),
-        "lists": values,
+        "occurrences": of(OCCURRENCE).select("record_id", F.col("id").alias("root_id")).distinct(),
+        "objects": objects,
+        "bridge": links.select("parent_id", F.col("l.field").alias("field"), F.col("l.ordinal").alias("ordinal"), F.col("l.child").alias("child_id")).distinct(),
+        "lists": elements.select("list_id", F.posexplode("elems").alias("elem_pos", "elem")),
     }
 
 
-def list_occurrences(tables: dict[str, DataFrame], field: str = "visited_view_ids") -> DataFrame:
-    """Every element of ``field`` with its full parent chain, through the bridge."""
+def list_occurrences(tables: dict[str, DataFrame], field: str = "visited_view_ids", hot: int = 1_000_000) -> DataFrame:
+    """Every element of ``field`` of every step with its full parent chain, through the bridge.
+
+    A subtree that more than ``hot`` parents share is salted.
+    """
 
     def level(name: str, parent: str, child: str, pos: str) -> DataFrame:
         rows = tables["bridge"].where(F.col("field") == name)
         return rows.select(F.col("parent_id").alias(parent), F.col("ordinal").alias(pos), F.col("child_id").alias(child))
 
-    return (
+    steps = (
         tables["occurrences"]
         .join(level("rollouts", "root_id", "rollout_id", "rollout_pos"), "root_id")
         .join(level("steps", "rollout_id", "step_id", "step_pos"), "rollout_id")
-        .join(level(field, "step_id", "list_id", "list_no"), "step_id")
-        .join(tables["lists"], "list_id")
-        .select("record_id", "rollout_pos", "step_pos", "elem_pos", "elem")
     )
+    chain = salted_join(steps, level(field, "step_id", "list_id", "list_no"), "step_id", hot)
+    found = salted_join(chain.select("record_id", "rollout_pos", "step_pos", "list_id"), tables["lists"], "list_id", hot)
+    return found.select("record_id", "rollout_pos", "step_pos", "elem_pos", "elem")
