@@ -1,6 +1,6 @@
 """Leaks against brute force over word windows, and the defined dirty cases."""
 
-from viewmill.llm.leak import ItemAutomaton, decontaminated, leaks, plain_text, words
+from viewmill.llm.leak import ItemAutomaton, decontaminated, item_windows, leak_spans, leaks, plain_text, words
 from viewmill.session import table
 
 
@@ -58,7 +58,34 @@ def test_dirty_cases(spark):
         "doc_id long, text string, item_id string",
     )
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(1, 1), (3, 2)}
+    both = [r for r in decontaminated(docs, items, 0.7).collect() if r.doc_id == 1]
+    assert sorted((r.action, r.n_words, r.leaked_words) for r in both) == [("drop", 14, 12), ("drop", 14, 12)]
+    out = {r.doc_id: r for r in decontaminated(docs, items, 0.95).collect() if r.doc_id == 1}
+    assert out[1].action == "trim" and out[1].text == "x  y"
     out = {r.doc_id: r for r in decontaminated(docs.where("doc_id > 1"), items, 0.7).collect()}
     assert out[3].action == "trim" and out[3].text == "a  here" and out[3].leaked_words == 3
     assert out[2].action == out[4].action == "keep" and out[4].text is None
     assert leaks(docs, items.limit(0)).count() == leaks(docs.limit(0), items).count() == 0
+
+
+def test_repeated_ids_with_different_texts_keep_their_own_spans(spark):
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, passage string")
+    docs = spark.createDataFrame([(7, "x y z a b c"), (7, "a b c x"), (7, "q"), (7, "a b c x"), (None, "a b c x y z u v")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.action, r.text) for r in decontaminated(docs, items, 0.8).collect())
+    assert got == [(0, "trim", " x y z u v"), (7, "keep", "q"), (7, "trim", " x"), (7, "trim", " x"), (7, "trim", "x y z ")]
+
+
+def test_many_blocks_read_the_corpus_once(spark):
+    d = "/root/testdata/sf0.01"
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leak_spans(watched, items, block_words=150, group_words=2000).collect()}
+    assert found == {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
+    assert seen.value == docs.count() and item_windows(items, 12, 150).select("block").distinct().count() >= 50
