@@ -6,7 +6,7 @@ import math
 import random
 from collections import Counter
 
-from viewmill.operators import path
+from viewmill.operators import path, windows
 from viewmill.plans import planning, registry, relational, sequences
 from viewmill.session import table
 
@@ -14,7 +14,7 @@ D = "/root/testdata/sf0.001"
 
 
 def test_every_member_has_a_place(spark):
-    got = registry.queries()["review_order_all"](spark, D).collect()
+    got = registry.queries()["review_order"](spark, D).collect()
     assert len(got) == table(spark, D, "split_members").count()
     sizes = Counter((r.split_name, r.p) for r in got)
     assert max(sizes.values()) > 20
@@ -23,14 +23,14 @@ def test_every_member_has_a_place(spark):
 
 
 def test_every_object_has_its_jobs_and_one_shard(spark):
-    got = registry.queries()["job_matrix_all"](spark, D).collect()
+    got = registry.queries()["job_matrix"](spark, D).collect()
     uids = sorted(r.uid for r in relational.objects(spark, D).select("uid").collect())
     assert sorted((r.uid, r.shard) for r in got) == sorted((u, i % 4) for i, u in enumerate(uids) for _ in range(9))
     assert len({r.job_id for r in got}) == len(got)
 
 
 def test_every_run_has_all_views_of_the_ring(spark):
-    got = registry.queries()["fallback_order_all"](spark, D).collect()
+    got = registry.queries()["fallback_order"](spark, D).collect()
     runs = {(r.run_id, r.start_view_id) for r in sequences.replay(spark, D).collect()}
     views = {run: {r.view_id for r in got if (r.run_id, r.start_view_id) == run} for run in runs}
     assert runs and {(r.run_id, r.start_view_id) for r in got} == runs and all(v >= set(range(128)) for v in views.values())
@@ -70,5 +70,11 @@ def test_view_clusters_run_all_rounds(spark, monkeypatch):
 
 
 def test_points_are_tiled_to_2048(spark):
-    got = registry.queries()["tiled_points_2048"](spark, D).collect()
-    assert got and all(r.n_rows >= 2048 > r.n_rows - r.n_points and r.n_rows % r.n_points == 0 for r in got)
+    got = registry.queries()["tiled_points"](spark, D).collect()
+    assert got and all(r.n_rows == 2048 and r.first_rows == math.ceil(2048 / r.n_points) for r in got)
+
+
+def test_tiling_repeats_in_order_and_cuts(spark):
+    df = spark.createDataFrame([(g, i) for g, n in (("a", 1), ("b", 3), ("c", 7)) for i in range(n)], "g string, i int")
+    got = windows.tiled_to(df, ["g"], ["i"], 5).groupBy("g").agg({"i": "collect_list"}).collect()
+    assert {r.g: sorted(r[1]) for r in got} == {"a": [0] * 5, "b": [0, 0, 1, 1, 2], "c": [0, 1, 2, 3, 4]}

@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 OFFSETS = list(itertools.product((-1, 0, 1), repeat=3))
 
 
+def packed_voxel(vx: str, vy: str, vz: str) -> Column:
+    """Three cell numbers as one long, 21 bits each; raises for cells beyond 2^20."""
+    half = 1 << 20
+    inside = F.lit(True)
+    for v in (vx, vy, vz):
+        inside &= F.col(v).between(-half, half - 1)
+    packed = ((F.col(vx) + half) * (1 << 42)) + ((F.col(vy) + half) * (1 << 21)) + F.col(vz) + half
+    return F.when(inside, packed).otherwise(F.raise_error(F.lit("a cell number does not fit 21 bits")))
+
+
 def voxel_keys(df: DataFrame, size: float, origin: float = 0.0) -> DataFrame:
     """Adds the integer cell vx, vy, vz of x, y, z."""
     return df.withColumns({f"v{a}": F.floor((F.col(a) - origin) / size).cast("long") for a in "xyz"})
@@ -72,15 +82,14 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
 def safe_distance(a: list[Column], b: list[Column], radius: float) -> Column:
     """Length of the shortest way from a to b that doesn't enter a sphere around the origin.
 
-    The straight segment where it misses the sphere; else two tangents and the arc between their feet.
-    Points inside the sphere are taken to its surface.
+    The straight segment where it misses the sphere or an end lies in it; else two tangents and the arc between their feet.
     """
     ra, rb = (F.sqrt(dot(p, p)) for p in (a, b))
     straight = F.sqrt(sum((y - x) * (y - x) for x, y in zip(a, b, strict=True)))
     ab = [y - x for x, y in zip(a, b, strict=True)]
     t = clamp(-dot(a, ab) / F.greatest(dot(ab, ab), F.lit(1e-18)), 0.0, 1.0)
     foot = [x + t * d for x, d in zip(a, ab, strict=True)]
-    misses = F.sqrt(dot(foot, foot)) >= radius - 1e-9
+    misses = (F.sqrt(dot(foot, foot)) >= radius - 1e-9) | (F.least(ra, rb) <= radius + 1e-9)
     oa, ob = F.greatest(ra, F.lit(radius)), F.greatest(rb, F.lit(radius))
     angle = F.acos(clamp(dot(a, b) / F.greatest(ra * rb, F.lit(1e-18)), -1.0, 1.0))
     tangents = F.sqrt(oa * oa - radius * radius) + F.sqrt(ob * ob - radius * radius)

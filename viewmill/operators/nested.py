@@ -36,8 +36,10 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +86,15 @@ def decoded(value: Any) -> Any:
     return value
 
 
+@lru_cache(maxsize=100_000)
 def snake(name: str) -> str:
     return CAPITAL.sub(r"_\1", name).lower()
 
 
 def fields_of(value: dict[str, Any]) -> dict[str, Any]:
     """The fields under snake-case names."""
+    if all(snake(name) == name for name in value):
+        return value
     out: dict[str, Any] = {}
     for name, v in value.items():
         name = snake(name)
@@ -140,6 +145,12 @@ def digest(*parts: Any) -> bytes:
     return hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def list_digest(spelled: list[str | None]) -> bytes:
+    """The id of a list of scalars; a length before each keeps their borders, -1 stands for a null."""
+    text = "".join("-1," if e is None else f"{len(e)},{e}" for e in spelled)
+    return hashlib.blake2b(b"list" + text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 class Shredder:
     """The different nodes of a batch of records, by id."""
 
@@ -147,6 +158,7 @@ class Shredder:
         self.levels, self.list_fields = frozenset(levels), frozenset(lists)
         self.objects: dict[bytes, tuple[str, dict[str, str], list[tuple[str, int, bytes]]]] = {}
         self.lists: dict[bytes, list[str | None]] = {}
+        self.number_lists: dict[tuple[int, ...], bytes] = {}
 
     def root(self, text: str, holder: str | None) -> bytes | None:
         """The id of a record; ``holder``: the field that a record has, looked for one field deeper if it is missing."""
@@ -186,6 +198,13 @@ class Shredder:
 
     def add_list(self, elements: list[Any], name: str, links: list[tuple[str, int, bytes]]) -> None:
         """Adds what hangs on the parent for a list."""
+        if elements and set(map(type, elements)) == {int}:  # the usual case, looked up as it is
+            if (own := self.number_lists.get(key := tuple(elements))) is None:
+                spelled = list(map(str, elements))
+                own = self.number_lists[key] = list_digest(spelled)
+                self.lists.setdefault(own, spelled)
+            links.append((name, 0, own))
+            return
         nested = [(i, e) for i, e in enumerate(elements) if isinstance(e, (dict, list))]
         for i, e in nested:
             if (inner := listed(e)) is None:
@@ -198,25 +217,49 @@ class Shredder:
                 links.append((name, i, own))
         spelled = [None if isinstance(e, (dict, list)) else scalar(e) for e in elements]
         if not nested or any(e is not None for e in spelled):
-            own = digest("list", spelled)
+            own = list_digest(spelled)
             self.lists.setdefault(own, spelled)
             links.append((name, -1 if nested else 0, own))
 
 
+def lists_of(rows: Iterable[list[Any]], values: pa.Array) -> pa.Array:
+    """A column of lists whose elements, one after the other, are ``values``."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
+
+
+def filled(kind: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``n`` rows of one kind; the other columns are null."""
+    columns = {"kind_of_row": pa.array(np.full(n, kind, np.int8))} | columns
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in ARROW_NODES], schema=ARROW_NODES)
+
+
 def nodes(records: DataFrame, id_col: str, json_col: str, levels: tuple[str, ...], lists: tuple[str, ...]) -> DataFrame:
     """All nodes, written once, those that several batches have as often; no shuffle but to spread a small scan."""
     holder = levels[0] if levels else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shredder, rows = Shredder(levels, lists), []
+            shredder, roots = Shredder(levels, lists), []
             for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if (root := shredder.root(text, holder)) is not None:
-                    rows.append((OCCURRENCE, record, root, None, None, None, None))
-            rows += [(OBJECT, None, i, kind, list(attrs.items()), [dict(zip(("field", "ordinal", "child"), x, strict=True)) for x in links], None) for i, (kind, attrs, links) in shredder.objects.items()]
-            rows += [(LIST, None, i, None, None, None, elems) for i, elems in shredder.lists.items()]
-            columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW_NODES)]
-            yield pa.RecordBatch.from_arrays(columns, schema=ARROW_NODES)
+                    roots.append((record, root))
+            yield filled(OCCURRENCE, len(roots), {"record_id": pa.array([r[0] for r in roots], pa.int64()), "id": pa.array([r[1] for r in roots], pa.binary())})
+            kinds, attrs, links = ([o[i] for o in shredder.objects.values()] for i in range(3))
+            flat = [link for own in links for link in own]
+            parts = [pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))]
+            names, texts = (pa.array([x for own in attrs for x in pick(own)], pa.string()) for pick in (dict.keys, dict.values))
+            yield filled(
+                OBJECT,
+                len(kinds),
+                {
+                    "id": pa.array(list(shredder.objects), pa.binary()),
+                    "kind": pa.array(kinds, pa.string()),
+                    "attrs": pa.MapArray.from_arrays(pa.array(np.cumsum([0, *map(len, attrs)]), pa.int32()), names, texts),
+                    "links": lists_of(links, pa.StructArray.from_arrays(parts, ["field", "ordinal", "child"])),
+                },
+            )
+            elems = list(shredder.lists.values())
+            yield filled(LIST, len(elems), {"id": pa.array(list(shredder.lists), pa.binary()), "elems": lists_of(elems, pa.array([e for own in elems for e in own], pa.string()))})
 
     source = spread(records.select(F.col(id_col).cast("long").alias("r"), F.col(json_col).alias("t")).where("t is not null"))
     path = scratch_path(records.sparkSession, "shred-nodes")

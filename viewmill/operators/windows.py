@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from viewmill.operators.positions import positions
 from viewmill.session import broadcast_if_small
 
 
@@ -106,3 +107,15 @@ def take_quota(rows: DataFrame, group: list[str], quotas: DataFrame, order: list
     few = sliced.withColumn("_r", in_slice).where("_r <= quota").drop("_r", "_slice")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return few.withColumn("_r", rank).where("_r <= quota").drop("_r", "quota")
+
+
+def tiled_to(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
+    """Each group's rows repeated in order until it has ``size`` rows, exactly; larger groups are cut. Adds place.
+
+    Places are numbered across partitions, so no group is gathered into one task; row ``place`` of n stands
+    ceil((size - place + 1) / n) times.
+    """
+    placed = positions(df, group, [F.asc(c) for c in order], size, "place")
+    n = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.ceil((F.lit(size) - F.col("place") + 1) / F.col("_n")).cast("int")
+    return placed.join(n, group).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_n", "_copy")

@@ -11,13 +11,14 @@ from viewmill.operators.cover import (
     argmax_within,
     coverage_ratio,
     greedy_cover,
+    greedy_rollouts,
     marginal_gain,
     needed_voxels,
     seen_by_at_least,
     threshold_then_cheapest,
     utility,
 )
-from viewmill.operators.geometry import voxel_keys
+from viewmill.operators.geometry import packed_voxel, voxel_keys
 from viewmill.plans.records import POINTS_SQL
 from viewmill.session import table, written
 
@@ -38,8 +39,7 @@ def cache_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation obj, view_number, voxel."""
     cells = voxel_keys(cache_points(spark, sf_dir), CELL)
-    voxel = (F.col("vx") + 8) * 256 + (F.col("vy") + 8) * 16 + F.col("vz") + 8
-    return cells.select("obj", "view_number", voxel.alias("voxel")).distinct()
+    return cells.select("obj", "view_number", packed_voxel("vx", "vy", "vz").alias("voxel")).distinct()
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,14 +70,19 @@ def greedy_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_cover(cov, OBJECT, VIEW, VOXEL, first_view(cov))
 
 
+def rollouts_all_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy cover of every object from every one of its views."""
+    return greedy_rollouts(views(spark, sf_dir), OBJECT, VIEW, VOXEL)
+
+
 def greedy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views needed and voxels covered for each object; covered equals the object's voxels."""
+    """Views needed and voxels covered for each object, counted by views; covered equals the object's voxels."""
     cov = views(spark, sf_dir)
     picks = greedy_cover(cov, OBJECT, VIEW, VOXEL).groupBy("obj").agg(F.count(F.lit(1)).alias("n_views"), F.max("n_covered").alias("n_covered"))
     size = cov.groupBy("obj").agg(F.count_distinct("voxel").alias("n_voxels"), F.count_distinct("view_number").alias("all_views"))
     return picks.join(size, "obj").select(
-        (F.col("n_covered") == F.col("n_voxels")).alias("complete"), F.least("n_views", F.lit(6)).alias("views_up_to_6"), (F.col("n_views") <= F.col("all_views")).alias("within")
-    ).groupBy("complete", "within", "views_up_to_6").agg(F.count(F.lit(1)).alias("n_objects"))
+        (F.col("n_covered") == F.col("n_voxels")).alias("complete"), "n_views", (F.col("n_views") <= F.col("all_views")).alias("within")
+    ).groupBy("complete", "within", "n_views").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
 def min_views_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +168,12 @@ def ranked_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    supplier_gain, greedy_rollout, greedy_summary, min_views_filter, union_size, selection_ratio, needed, utility_argmax,
+    supplier_gain, greedy_rollout, rollouts_all_starts, greedy_summary, min_views_filter, union_size, selection_ratio, needed, utility_argmax,
     threshold_lexi, oracle_agrees, state_vectors, ranked_feasible,
 )} | {"marginal_gain": gain_over_first}
 
 _VIEWS = POINTS_SQL + f""", w AS (SELECT DISTINCT obj, view_number,
-  (floor(x / {CELL}::DOUBLE)::BIGINT + 8) * 256 + (floor(y / {CELL}::DOUBLE)::BIGINT + 8) * 16 + floor(z / {CELL}::DOUBLE)::BIGINT + 8 AS voxel FROM points),
+  floor(x / {CELL}::DOUBLE)::BIGINT || ',' || floor(y / {CELL}::DOUBLE)::BIGINT || ',' || floor(z / {CELL}::DOUBLE)::BIGINT AS voxel FROM points),
 f1 AS (SELECT obj, min(view_number) AS view_number FROM w GROUP BY obj),
 cv AS (SELECT w.obj, w.voxel FROM w JOIN f1 ON w.obj = f1.obj AND w.view_number = f1.view_number)
 """
@@ -176,7 +181,29 @@ _CAND = """WITH e AS (SELECT row_id, start_view_id, unnest(list_zip(candidate_vi
 c AS (SELECT row_id, p[1] AS view_id, max(p[2]) AS gain, max(least(abs(p[1] - start_view_id), 128 - abs(p[1] - start_view_id))) AS cost FROM e WHERE p[1] IS NOT NULL AND p[2] >= 0 GROUP BY ALL)
 """
 
+#: cov: each view's voxels as a list. ``greedy(first, keys)`` follows the best view from the rows of ``first``.
+_COVER = _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + ", cov AS (SELECT obj, view_number, list(voxel) AS vs FROM w GROUP BY ALL)\n"
+
+
+def greedy_sql(first: str, keys: str = "obj", steps: int = 1 << 30) -> str:
+    return f""", pk AS ({first} UNION ALL
+SELECT {keys}, step + 1, view_number, gain, n_covered + gain, list_concat(covered, new) FROM (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC, view_number) AS k FROM (
+    SELECT {", ".join("pk." + k for k in keys.split(", "))}, pk.step, c.view_number, pk.n_covered, pk.covered, list_filter(c.vs, lambda x: NOT list_contains(pk.covered, x)) AS new, len(new) AS gain
+    FROM pk JOIN cov c ON pk.obj = c.obj WHERE pk.step + 1 < {steps}) WHERE gain > 0) WHERE k = 1)
+"""
+
+
+_FIRST = "SELECT c.obj, {0}0 AS step, c.view_number, len(vs) AS gain, len(vs) AS n_covered, vs AS covered FROM cov c"
+_BEST = """SELECT obj, 0 AS step, view_number, len(vs) AS gain, len(vs) AS n_covered, vs AS covered FROM (
+  SELECT *, row_number() OVER (PARTITION BY obj ORDER BY len(vs) DESC, view_number) AS k FROM cov) WHERE k = 1"""
+
 SQL = {
+    "greedy_rollout": _COVER + greedy_sql(_FIRST.format("") + " JOIN f1 ON c.obj = f1.obj AND c.view_number = f1.view_number") + "SELECT obj, step, view_number, gain, n_covered FROM pk",
+    "rollouts_all_starts": _COVER + greedy_sql(_FIRST.format("c.view_number AS start, "), "obj, start") + "SELECT obj, start, step, view_number, gain, n_covered FROM pk",
+    "greedy_summary": _COVER + greedy_sql(_BEST) + """, p AS (SELECT obj, count(*) AS n_views, max(n_covered) AS n_covered FROM pk GROUP BY 1),
+u AS (SELECT obj, count(DISTINCT voxel) AS n_voxels, count(DISTINCT view_number) AS all_views FROM w GROUP BY 1)
+SELECT n_covered = n_voxels AS complete, n_views <= all_views AS within, n_views, count(*) AS n_objects FROM p JOIN u USING (obj) GROUP BY ALL""",
     "marginal_gain": _VIEWS + """SELECT w.obj, w.view_number, count(DISTINCT CASE WHEN cv.voxel IS NULL THEN w.voxel END) AS gain
 FROM w LEFT JOIN cv ON w.obj = cv.obj AND w.voxel = cv.voxel GROUP BY ALL""",
     "supplier_gain": """WITH c AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), d AS (SELECT DISTINCT l_partkey FROM c WHERE l_suppkey % 10 = 1)

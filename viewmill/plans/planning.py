@@ -11,7 +11,9 @@ from viewmill.functions.scalar import binary_entropy, occupancy_class
 from viewmill.operators.cover import greedy_cover
 from viewmill.operators.geometry import rotate, sphere_pose, voxel_keys
 from viewmill.operators.path import farthest_points, open_paths, representatives
+from viewmill.operators.windows import tiled_to
 from viewmill.plans.coverage import OBJECT, VIEW, VOXEL, cache_points, candidates, first_view, views
+from viewmill.plans.coverage import _BEST, _COVER, _VIEWS, greedy_sql
 from viewmill.plans.records import POINTS_SQL
 from viewmill.plans.sequences import SQL as SEQUENCE_SQL
 from viewmill.plans.sequences import replay, run_steps
@@ -20,7 +22,7 @@ from viewmill.session import table
 
 def max_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels that three greedily chosen views of each object cover (N6; at least 1 - 1/e of the optimum)."""
-    picks = greedy_cover(views(spark, sf_dir), OBJECT, VIEW, VOXEL, max_steps=3)
+    picks = greedy_cover(views(spark, sf_dir), OBJECT, VIEW, VOXEL, budget=3)
     return picks.groupBy("obj").agg(F.count(F.lit(1)).alias("n_views"), F.max("n_covered").alias("n_covered"))
 
 
@@ -120,26 +122,17 @@ def stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_runs"))
 
 
-def _fallback(spark: SparkSession, sf_dir: str, n_views: int) -> DataFrame:
+def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's replayed views followed by all other views of the ring of 128 in id order: place and origin."""
     played = replay(spark, sf_dir).select("run_id", "start_view_id", "view_id", F.col("place").alias("p"))
     runs = played.select("run_id", "start_view_id").distinct()
-    rest = runs.select("run_id", "start_view_id", F.explode(F.sequence(F.lit(0), F.lit(n_views - 1))).alias("view_id"))
+    rest = runs.select("run_id", "start_view_id", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("view_id"))
     rest = rest.join(played, ["run_id", "start_view_id", "view_id"], "left_anti").withColumn("p", F.lit(None).cast("int"))
     w = Window.partitionBy("run_id", "start_view_id").orderBy(F.asc_nulls_last("p"), "view_id")
     both = played.unionByName(rest)
     return both.select("run_id", "start_view_id", "view_id", F.row_number().over(w).alias("place"), F.when(F.col("p").isNull(), "fallback").otherwise("replay").alias("origin"))
 
 
-def fallback_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's replayed views followed by all other views of the ring of 128 in id order: place and origin."""
-    return _fallback(spark, sf_dir, 128)
-
-
-def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fallback_order_all`` with the views below 16 as the only fallbacks; its SQL is fixed to them."""
-    return _fallback(spark, sf_dir, 16)
-
-
 def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five members of each pool with the smallest and five with the largest B (O3)."""
     b = F.col("observation_saturation_view_num")
@@ -150,27 +143,16 @@ def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends[0].unionByName(ends[1])
 
 
-def _tiled(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    points = cache_points(spark, sf_dir).select("obj", "x", "y", "z").distinct()
-    n = points.groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
-    times = F.ceil(F.lit(size) / F.col("n")).cast("int")
-    tiled = points.join(n, "obj").withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
-    return tiled.groupBy("obj").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("x", "y", "z").alias("n_points"))
-
-
-def tiled_points_2048(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of each object repeated in order up to a multiple that reaches 2048 (X32): rows and distinct points."""
-    return _tiled(spark, sf_dir, 2048)
-
-
 def tiled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``tiled_points_2048`` with multiples that reach 64; its SQL is fixed to them."""
-    return _tiled(spark, sf_dir, 64)
+    """Points of each object repeated in order up to 2048 rows exactly (X32): rows, distinct points, rows of the first point."""
+    points = cache_points(spark, sf_dir).select("obj", "x", "y", "z").distinct()
+    tiled = tiled_to(points, ["obj"], ["x", "y", "z"], 2048)
+    return tiled.groupBy("obj").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("x", "y", "z").alias("n_points"), F.count_if(F.col("place") == 1).alias("first_rows"))
 
 
 QUERIES = {f.__name__: f for f in (
     max_coverage, residual_cover, open_path, farthest_views, topk_accuracy, bucket_quotas, occupancy_map, ray_walk,
-    view_clusters, stop_reasons, fallback_order, fallback_order_all, top_examples, tiled_points, tiled_points_2048,
+    view_clusters, stop_reasons, fallback_order, top_examples, tiled_points,
 )}
 
 _GOLDEN = math.pi * (3 - math.sqrt(5))
@@ -181,16 +163,17 @@ c AS (SELECT row_id, p[1] AS view_id, max(p[2]) AS gain FROM e WHERE p[1] IS NOT
 """
 _CELL = ", ".join(f"floor({c} / {{0}}::DOUBLE)::BIGINT AS v{c}" for c in "xyz")
 
+_REST = """, cov AS (SELECT w.obj, w.view_number, list(w.voxel) AS vs FROM w LEFT JOIN cv ON w.obj = cv.obj AND w.voxel = cv.voxel WHERE cv.voxel IS NULL GROUP BY ALL)
+"""
+
 SQL = {
+    "max_coverage": _COVER + greedy_sql(_BEST, steps=3) + "SELECT obj, count(*) AS n_views, max(n_covered) AS n_covered FROM pk GROUP BY 1",
+    "residual_cover": _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + _REST + greedy_sql(_BEST) + "SELECT obj, step, view_number, gain, n_covered FROM pk",
     "stop_reasons": """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id, step_id ORDER BY row_id) AS rk FROM method_steps WHERE covered_voxel_count IS NOT NULL) WHERE rk = 1),
 l AS (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY step_id DESC) AS k, count(*) OVER (PARTITION BY run_id, start_view_id) AS n FROM s)
 SELECT CASE WHEN covered_ratio >= 0.999 THEN 'full_coverage' WHEN coalesce(oracle_nbv_gain, 0) <= 0 THEN 'no_gain' WHEN oracle_nbv_view_id IS NULL THEN 'no_view'
 WHEN n >= 6 THEN 'budget' ELSE 'cut_off' END AS reason, count(*) AS n_runs FROM l WHERE k = 1 GROUP BY 1""",
     "fallback_order": "WITH r AS (" + SEQUENCE_SQL["replay"] + """), x AS (SELECT run_id, start_view_id, view_id, place AS p FROM r
-UNION ALL SELECT run_id, start_view_id, v, NULL FROM (SELECT DISTINCT run_id, start_view_id FROM r), (SELECT unnest(range(16))::INTEGER AS v))
-SELECT run_id, start_view_id, view_id, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY p NULLS LAST, view_id)::INTEGER AS place,
-CASE WHEN p IS NULL THEN 'fallback' ELSE 'replay' END AS origin FROM (SELECT *, count(p) OVER (PARTITION BY run_id, start_view_id, view_id) AS c FROM x) WHERE p IS NOT NULL OR c = 0""",
-    "fallback_order_all": "WITH r AS (" + SEQUENCE_SQL["replay"] + """), x AS (SELECT run_id, start_view_id, view_id, place AS p FROM r
 UNION ALL SELECT run_id, start_view_id, v, NULL FROM (SELECT DISTINCT run_id, start_view_id FROM r), (SELECT unnest(range(128))::INTEGER AS v))
 SELECT run_id, start_view_id, view_id, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY p NULLS LAST, view_id)::INTEGER AS place,
 CASE WHEN p IS NULL THEN 'fallback' ELSE 'replay' END AS origin FROM (SELECT *, count(p) OVER (PARTITION BY run_id, start_view_id, view_id) AS c FROM x) WHERE p IS NOT NULL OR c = 0""",
@@ -198,9 +181,7 @@ CASE WHEN p IS NULL THEN 'fallback' ELSE 'replay' END AS origin FROM (SELECT *,
 r AS (SELECT *, row_number() OVER (PARTITION BY pool_type ORDER BY b, member_id)::INTEGER AS lo, row_number() OVER (PARTITION BY pool_type ORDER BY b DESC, member_id)::INTEGER AS hi FROM b)
 SELECT 'low' AS "end", pool_type, lo AS k, member_id FROM r WHERE lo <= 5 UNION ALL SELECT 'high', pool_type, hi, member_id FROM r WHERE hi <= 5""",
     "tiled_points": POINTS_SQL + """, q AS (SELECT DISTINCT obj, x, y, z FROM points), n AS (SELECT obj, count(*) AS n FROM q GROUP BY obj)
-SELECT obj, (n * ceil(64 / n::DOUBLE))::BIGINT AS n_rows, n AS n_points FROM n""",
-    "tiled_points_2048": POINTS_SQL + """, q AS (SELECT DISTINCT obj, x, y, z FROM points), n AS (SELECT obj, count(*) AS n FROM q GROUP BY obj)
-SELECT obj, (n * ceil(2048 / n::DOUBLE))::BIGINT AS n_rows, n AS n_points FROM n""",
+SELECT obj, 2048::BIGINT AS n_rows, least(n, 2048) AS n_points, ceil(2048 / n::DOUBLE)::BIGINT AS first_rows FROM n""",
     "topk_accuracy": _CAND + """, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY gain DESC, view_id) AS rank FROM c)
 SELECT count(*) AS n, round(avg(coalesce((rank <= 1)::INTEGER, 0)), 6) AS top1, round(avg(coalesce((rank <= 3)::INTEGER, 0)), 6) AS top3, round(avg(coalesce((rank <= 5)::INTEGER, 0)), 6) AS top5
 FROM method_steps m LEFT JOIN r ON m.row_id = r.row_id AND m.oracle_nbv_view_id = r.view_id WHERE oracle_nbv_view_id IS NOT NULL""",

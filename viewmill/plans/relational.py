@@ -87,19 +87,12 @@ def _jobs(uids: DataFrame) -> DataFrame:
     return jobs.withColumn("job_id", F.concat_ws("__", "method", F.lpad(F.col("start").cast("string"), 3, "0"), "uid"))
 
 
-def job_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work list of all objects, each with every start view and method; ``shard`` (0 to 3) is the place in the sorted list modulo 4."""
     placed = positions(objects(spark, sf_dir).select("uid"), [], [F.asc("uid")], name="position")
     return _jobs(placed).select("job_id", "uid", "start", "method", ((F.col("position") - 1) % 4).alias("shard"))
 
 
-def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of one part in four of the objects, by a hash of the uid; its SQL is fixed to that part. ``job_matrix_all`` lists all."""
-    uids = objects(spark, sf_dir).select("uid")
-    part = uids.where(F.pmod(F.conv(F.substring(F.md5("uid"), 1, 8), 16, 10).cast("long"), F.lit(4)) == 1)
-    return _jobs(part).select("job_id", "uid", "start", "method")
-
-
 def resume_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members without a usable saturation record yet, with the reason; finished ones are left out."""
     members = table(spark, sf_dir, "split_members").select("member_id", clean_key("uid").alias("uid"))
@@ -144,26 +137,17 @@ def registry_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.nullif("name", F.lit("")), F.col("fit_type"), F.lit("other")).alias("fit")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _review(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
+def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member's place in the review: flagged pools first, then B descending, then id (O1, O2)."""
     pool = F.when(F.col("pool_type") == "extreme", 0).when(F.col("pool_type") == "long_tail", 1).otherwise(2)
     rows = table(spark, sf_dir, "split_members").select("split_name", pool.alias("p"), "member_id", "observation_saturation_view_num")
     order = [F.desc_nulls_last("observation_saturation_view_num"), F.asc("member_id")]
-    return positions(rows, ["split_name", "p"], order, n, "place").drop("observation_saturation_view_num")
-
-
-def review_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every member's place in the review: flagged pools first, then B descending, then id."""
-    return _review(spark, sf_dir, None)
-
-
-def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First page of ``review_order_all``: the 20 first places of each split and pool; its SQL is fixed to them."""
-    return _review(spark, sf_dir, 20).withColumn("place", F.col("place").cast("int"))
+    return positions(rows, ["split_name", "p"], order, None, "place").drop("observation_saturation_view_num")
 
 
 QUERIES = {f.__name__: f for f in (
-    inner_override, full_outer_merge, anti_semi, set_algebra, job_matrix, job_matrix_all, resume_work_list, tolerance_join,
-    nearest_dot, farthest, ordered_merge, registry_default, review_order, review_order_all,
+    inner_override, full_outer_merge, anti_semi, set_algebra, job_matrix, resume_work_list, tolerance_join,
+    nearest_dot, farthest, ordered_merge, registry_default, review_order,
 )} | {"audit_join": audit}
 
 _UID = r"nullif(lower(regexp_replace(uid, '^\s+|\s+$', '', 'g')), '')"
@@ -196,9 +180,7 @@ UNION ALL SELECT 'annotated_only', count(*) FROM o WHERE uid NOT IN (SELECT uid
     "set_algebra": _SETS + """SELECT 'union' AS name, count(*) AS n FROM u UNION ALL SELECT 'union_minus_test', count(*) FROM (FROM u EXCEPT FROM t)
 UNION ALL SELECT 'train_overlap', count(*) FROM (FROM r INTERSECT FROM b) UNION ALL SELECT 'measured_train', count(*) FROM ((FROM u EXCEPT FROM t) INTERSECT FROM s)
 UNION ALL SELECT 'all_rows', count(*) FROM (FROM r UNION ALL FROM b)""",
-    "job_matrix": _OBJECTS + """SELECT method || '__' || lpad(start::VARCHAR, 3, '0') || '__' || uid AS job_id, uid, start, method
-FROM (SELECT uid FROM o WHERE ('0x' || substr(md5(uid), 1, 8))::BIGINT % 4 = 1), (SELECT unnest([0, 42, 85]) AS start), (SELECT unnest(['greedy', 'random', 'nearest']) AS method)""",
-    "job_matrix_all": _OBJECTS + """SELECT method || '__' || lpad(start::VARCHAR, 3, '0') || '__' || uid AS job_id, uid, start, method, shard
+    "job_matrix": _OBJECTS + """SELECT method || '__' || lpad(start::VARCHAR, 3, '0') || '__' || uid AS job_id, uid, start, method, shard
 FROM (SELECT uid, (row_number() OVER (ORDER BY uid) - 1) % 4 AS shard FROM o), (SELECT unnest([0, 42, 85]) AS start), (SELECT unnest(['greedy', 'random', 'nearest']) AS method)""",
     "resume_work_list": _OBJECTS + f"""SELECT member_id, CASE WHEN s.uid IS NULL THEN 'missing_row' ELSE 'missing_a_fit' END AS status
 FROM (SELECT member_id, {_UID} AS uid FROM split_members) m LEFT JOIN s ON m.uid = s.uid WHERE s.uid IS NULL OR {_A} IS NULL""",
@@ -211,8 +193,6 @@ SELECT a.vec_id AS query_id, b.vec_id AS id, {_D2} AS d FROM embeddings a JOIN e
     "ordered_merge": _OBJECTS + "SELECT uid, row_id, n_rows FROM o WHERE n_rows > 1",
     "registry_default": """SELECT coalesce(nullif(t.name, ''), s.fit_type, 'other') AS fit, count(*) AS n FROM saturation s
 LEFT JOIN (VALUES ('lognormal_cdf', 'lognormal'), ('discrete', '')) AS t(fit_type, name) ON s.fit_type = t.fit_type GROUP BY 1""",
-    "review_order": """SELECT split_name, p, member_id, place FROM (SELECT split_name, p, member_id, row_number() OVER (PARTITION BY split_name, p ORDER BY observation_saturation_view_num DESC NULLS LAST, member_id)::INTEGER AS place
-FROM (SELECT *, CASE WHEN pool_type = 'extreme' THEN 0 WHEN pool_type = 'long_tail' THEN 1 ELSE 2 END AS p FROM split_members)) WHERE place <= 20""",
-    "review_order_all": """SELECT split_name, p, member_id, row_number() OVER (PARTITION BY split_name, p ORDER BY observation_saturation_view_num DESC NULLS LAST, member_id) AS place
+    "review_order": """SELECT split_name, p, member_id, row_number() OVER (PARTITION BY split_name, p ORDER BY observation_saturation_view_num DESC NULLS LAST, member_id) AS place
 FROM (SELECT *, CASE WHEN pool_type = 'extreme' THEN 0 WHEN pool_type = 'long_tail' THEN 1 ELSE 2 END AS p FROM split_members)""",
 }
