@@ -118,13 +118,18 @@ def file_safe(x: Column) -> Column:
     return F.replace(threshold_key(x), F.lit("."), F.lit("p"))
 
 
+# The published coefficients of the rational approximation of the normal quantile.
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+# The published coefficients of the approximation of the normal distribution function.
+NORMAL_CDF = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+
+
 def inverse_normal(p: Column) -> Column:
     """Quantile of the standard normal distribution by a rational approximation (relative error 1.2e-9)."""
-    # The published coefficients of the approximation.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+    a, b, c, d = QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D
 
     def poly(x: Column, k: tuple[float, ...]) -> Column:
         out = F.lit(k[0])
@@ -146,11 +151,9 @@ def inverse_normal(p: Column) -> Column:
 
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function (absolute error below 7.5e-8)."""
-    # The published coefficients of the approximation.
-    k = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
     t = 1 / (1 + 0.2316419 * F.abs(z))
     poly = F.lit(0.0)
-    for v in reversed(k):
+    for v in reversed(NORMAL_CDF):
         poly = (poly + v) * t
     upper = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
     return F.when(z >= 0, 1 - upper).otherwise(upper)

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from viewmill.session import broadcast_if_small, written
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the keys stand once, those of the left side."""
+    on = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+    rest = [F.col(f"_r.{c}") for c in right.columns if c not in keys]
+    joined = left.alias("_l").join(right.alias("_r"), on, how) if keys else left.alias("_l").crossJoin(right.alias("_r"))
+    return joined.select("_l.*", *rest)
+
+
 def exact_percentiles(df: DataFrame, group: list[str], column: str, probs: list[float], accuracy: int = 10_000) -> DataFrame:
     """Exact percentiles (linear interpolation) without gathering a group: group columns, prob, n, x.
 
     A mergeable sketch brackets each percentile to a few ten-thousandths of the ranks; one more pass
-    counts what lies below the bracket and orders only what lies inside. Nulls and NaN are left out;
-    a group without values gives no row.
+    counts what lies below the bracket and orders only what lies inside. Where a bracket turns out not to
+    hold its rank, a further pass takes all values of the group. Nulls and NaN are left out; a null group
+    is a group; a group without values gives no row.
     """
     values = df.select(*group, F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
     slack = 2.0 / accuracy
@@ -30,8 +39,19 @@ def exact_percentiles(df: DataFrame, group: list[str], column: str, probs: list[
             for i, (p, (a, b)) in enumerate(zip(probs, edges, strict=True))
         )
     )
-    targets = broadcast_if_small(written(ends.select(*group, "n", F.inline(brackets)), "brackets"))
-    pairs = values.join(targets, group) if group else values.join(targets)
+    targets = written(ends.select(*group, "n", F.inline(brackets)), "brackets")
+    found = written(_in_brackets(values, targets, group), "percentiles")
+    missed = found.where("a is null or b is null")
+    if not missed.isEmpty():
+        everything = missed.select(*group, "n", "prob", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+        found = found.where("a is not null and b is not null").unionByName(_in_brackets(values, everything, group))
+    x = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    return found.select(*group, "prob", "n", x.alias("x"))
+
+
+def _in_brackets(values: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+    """The values ``a`` and ``b`` at the ranks below and above each target, null where its bracket doesn't hold them."""
+    pairs = null_safe(values, broadcast_if_small(targets), group)
     # -1: below the bracket, 0: inside, 1: above; outside only the nearest value can be asked for
     side = F.when(F.col("x") < F.col("lo"), -1).when(F.col("x") > F.col("hi"), 1).otherwise(0)
     counts = (
@@ -47,11 +67,9 @@ def exact_percentiles(df: DataFrame, group: list[str], column: str, probs: list[
         nearest = (F.col("side") == 0) | ((F.col("side") < 0) & (r == last)) | ((F.col("side") > 0) & (r == first))
         return F.max(F.when((first <= r) & (r <= last) & nearest, F.col("x")))
 
-    found = ranked.groupBy(*group, "prob").agg(
+    return ranked.groupBy(*group, "prob").agg(
         F.max("n").alias("n"), F.max("at").alias("at"), value_at(F.floor("at")).alias("a"), value_at(F.ceil("at")).alias("b")
     )
-    x = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    return found.select(*group, "prob", "n", x.alias("x"))
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
@@ -62,7 +80,7 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFr
 
 def robust_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: count, median, median absolute deviation and tertile cuts of each column."""
-    values = long_form(df, columns)
+    values = written(long_form(df, columns), "measures")
     thirds = [1.0 / 3, 0.5, 2.0 / 3]
     first = written(exact_percentiles(values, ["measure"], "x", thirds), "medians")
     medians = first.where("prob = 0.5").select("measure", F.col("x").alias("med"))
@@ -76,15 +94,18 @@ def robust_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def five_numbers(values: DataFrame, group: list[str]) -> DataFrame:
-    """Count, mean, minimum, quartiles (linear interpolation) and maximum of column x for each group."""
-    usable = values.where("x is not null and not isnan(x)")
+    """Count, mean, minimum, quartiles (linear interpolation) and maximum of column x for each group.
+
+    A null group is a group; one without values keeps its row, with a count of 0 and nulls.
+    """
+    usable = values.withColumn("x", F.when(~F.isnan("x"), F.col("x")))
     plain = usable.groupBy(*group).agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")
     )
     quartiles = exact_percentiles(usable, group, "x", [0.25, 0.5, 0.75]).groupBy(*group).agg(
         *(F.max(F.when(F.col("prob") == p, F.col("x"))).alias(name) for name, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)))
     )
-    return plain.join(quartiles, group)
+    return null_safe(plain, quartiles, group, "left")
 
 
 def sample_std(c: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -19,36 +20,46 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(reduce(lambda s, c: s + c, ((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in XYZ)))
 
 
+def exact_path(points: list[tuple[float, ...]]) -> tuple[float, list[int]]:
+    """Shortest way from point 0 through all points, by dynamic programming over subsets; ties go to the smaller route."""
+    n = len(points)
+    d = [[math.dist(p, q) for q in points] for p in points]
+    states: dict[tuple[int, int], tuple[float, list[int]]] = {(1, 0): (0.0, [0])}
+    for _ in range(n - 1):
+        longer: dict[tuple[int, int], tuple[float, list[int]]] = {}
+        for (seen, last), (cost, route) in states.items():
+            for j in range(1, n):
+                if not seen >> j & 1:
+                    option = (round(cost + d[last][j], 9), [*route, j])
+                    key = (seen | 1 << j, j)
+                    if key not in longer or option < longer[key]:
+                        longer[key] = option
+        states = longer
+    return min(states.values())
+
+
+def _paths(nodes: DataFrame, group: list[str], solve: Callable[[list[tuple[float, ...]]], tuple[float, list[int]]]) -> DataFrame:
+    """group, n_nodes, cost, route by ``solve``: all groups in one shuffle, a group's nodes in one task."""
+    types = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        cost, route = solve(list(rows[list(XYZ)].itertuples(index=False, name=None)))
+        return pd.DataFrame([[*key, len(rows), cost, [int(rows.idx.iloc[i]) for i in route]]], columns=[*group, "n_nodes", "cost", "route"])
+
+    schema = ", ".join([*(f"{g} {types[g]}" for g in group), f"n_nodes long, cost double, route array<{types['idx']}>"])
+    return nodes.groupBy(*group).applyInPandas(run, schema)
+
+
 def shortest_open_path(nodes: DataFrame, group: list[str], max_nodes: int = MAX_NODES) -> DataFrame:
     """Shortest way from node 0 through all nodes of each group: group, n_nodes, cost, route (array of idx).
 
-    ``nodes``: group, idx (0, 1, ...), x, y, z. Dynamic programming over subsets, one round of joins for
-    each further node and all groups in one job: a state is (group, visited set, last node). Exact; the
-    states double with each node, so groups of more than ``max_nodes`` are refused with an error.
+    ``nodes``: group, idx (0, 1, ...), x, y, z. Exact; the states double with each node, so groups of more than
+    ``max_nodes`` are refused with an error.
     """
     sizes = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n_nodes"))
-    fits = F.when(F.col("n_nodes") <= max_nodes, F.col("n_nodes")).otherwise(F.raise_error(F.lit(f"more than {max_nodes} nodes in a group")))
-    steps = written(nodes.join(sizes, group).withColumn("n_nodes", fits), "path-nodes")
-    to = steps.select(*group, F.col("idx").alias("b_idx"), *(F.col(c).alias(f"b{c}") for c in XYZ))
-    states = steps.where("idx = 0").select(
-        *group, "n_nodes", F.lit(1).alias("seen"), *(F.col(c).alias(f"a{c}") for c in XYZ), F.lit(0.0).alias("cost"), F.array("idx").alias("route")
-    )
-    done = []
-    for k in range(1, max_nodes + 1):
-        states = written(states, "path-states")
-        done.append(states.where(F.col("n_nodes") == k).select(*group, "n_nodes", "cost", "route"))
-        states = states.where(F.col("n_nodes") > k)
-        if k == max_nodes or states.isEmpty():
-            break
-        bit = F.call_function("shiftleft", F.lit(1), F.col("b_idx"))
-        moved = states.join(to, group).where(F.col("seen").bitwiseAND(bit) == 0)
-        cost = F.round(F.col("cost") + distance("a", "b"), 9)
-        moved = moved.select(*group, "n_nodes", F.col("seen").bitwiseOR(bit).alias("seen"), "b_idx", *(F.col(f"b{c}").alias(f"a{c}") for c in XYZ), cost.alias("cost"), F.concat("route", F.array("b_idx")).alias("route"))
-        row = F.struct(*(f"a{c}" for c in XYZ), "cost", "route")
-        best = moved.groupBy(*group, "n_nodes", "seen", "b_idx").agg(F.min_by(row, F.struct("cost", "route")).alias("r"))
-        states = best.select(*group, "n_nodes", "seen", "r.*")
-    out = reduce(DataFrame.unionByName, done)
-    return out.groupBy(*group, "n_nodes").agg(F.min_by(F.struct("cost", "route"), F.struct("cost", "route")).alias("r")).select(*group, "n_nodes", "r.*")
+    fits = F.when(F.col("n_nodes") <= max_nodes, F.col("idx")).otherwise(F.raise_error(F.lit(f"more than {max_nodes} nodes in a group")))
+    return _paths(nodes.join(sizes, group).select(*group, fits.cast(nodes.schema["idx"].dataType).alias("idx"), *XYZ), group, exact_path)
 
 
 def improved_path(points: list[tuple[float, ...]]) -> tuple[float, list[int]]:
@@ -80,16 +91,8 @@ def open_paths(nodes: DataFrame, group: list[str], max_nodes: int = MAX_NODES) -
     sizes = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     small = nodes.join(sizes.where(F.col("n") <= max_nodes), group, "left_semi")
     large = nodes.join(sizes.where(F.col("n") > max_nodes), group, "left_semi")
-    exact = shortest_open_path(small, group, max_nodes).withColumn("method", F.lit("exact"))
-    types = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        cost, route = improved_path(list(rows[list(XYZ)].itertuples(index=False, name=None)))
-        return pd.DataFrame([[*key, len(rows), cost, [int(rows.idx.iloc[i]) for i in route], "heuristic"]], columns=[*group, "n_nodes", "cost", "route", "method"])
-
-    schema = ", ".join([*(f"{g} {types[g]}" for g in group), f"n_nodes long, cost double, route array<{types['idx']}>, method string"])
-    return exact.unionByName(large.groupBy(*group).applyInPandas(run, schema))
+    exact = _paths(small, group, exact_path).withColumn("method", F.lit("exact"))
+    return exact.unionByName(_paths(large, group, improved_path).withColumn("method", F.lit("heuristic")))
 
 
 def farthest_points(points: DataFrame, group: list[str], id_col: str, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viewmill.functions.scalar import bisect, inverse_normal, lognormal_cdf, number
+from viewmill.functions.scalar import NORMAL_CDF, QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D, bisect, inverse_normal, lognormal_cdf, number
 from viewmill.plans.sequences import curve_points
 from viewmill.session import table
 
@@ -36,12 +36,6 @@ def saturation_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"lognormal_fit": lognormal_fit, "saturation_point": saturation_point}
 
-_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
-_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
-
-
 def _poly(x: str, k: tuple[float, ...]) -> str:
     out = f"({k[0]!r}::DOUBLE)"
     for v in k[1:]:
@@ -50,16 +44,33 @@ def _poly(x: str, k: tuple[float, ...]) -> str:
 
 
 def _tail(q: str) -> str:
-    return f"({_poly(q, _C)} / ({_poly(q, _D)} * {q} + 1))"
+    return f"({_poly(q, QUANTILE_C)} / ({_poly(q, QUANTILE_D)} * {q} + 1))"
+
+
+def _cdf(n: str) -> str:
+    """SQL for the lognormal distribution function at ``n`` views."""
+    z = f"((ln({n}) - mu) / sigma)"
+    t = f"(1 / (1 + 0.2316419::DOUBLE * abs({z})))"
+    poly = "0.0::DOUBLE"
+    for v in reversed(NORMAL_CDF):
+        poly = f"(({poly} + {v!r}::DOUBLE) * {t})"
+    upper = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {poly})"
+    return f"(CASE WHEN {z} >= 0 THEN 1 - {upper} ELSE {upper} END)"
 
 
 SQL = {
+    "saturation_point": f"""WITH RECURSIVE s AS (SELECT row_id, fit_mu AS mu, fit_sigma AS sigma FROM saturation WHERE isfinite(fit_mu) AND isfinite(fit_sigma) AND fit_sigma > 0),
+h AS (SELECT row_id, mu, sigma, 0 AS k, exp(mu) AS lo, 1e6::DOUBLE AS hi, (exp(mu) + 1e6::DOUBLE) / 2 AS mid FROM s
+UNION ALL SELECT row_id, mu, sigma, k + 1, lo, hi, (lo + hi) / 2 FROM (
+  SELECT row_id, mu, sigma, k, CASE WHEN ok THEN lo ELSE mid END AS lo, CASE WHEN ok THEN mid ELSE hi END AS hi FROM (
+    SELECT *, {_cdf('(mid + 10)')} - {_cdf('mid')} <= 0.01::DOUBLE AS ok FROM h WHERE k < 40)))
+SELECT row_id, round(hi, 2) AS n_star, round({_cdf('(hi + 10)')} - {_cdf('hi')}, 4) AS growth FROM h WHERE k = 40""",
     "lognormal_fit": f"""WITH c0 AS (SELECT row_id, unnest(curve_raw) AS p FROM saturation),
 c AS (SELECT row_id, p.n AS n, max(p.y) AS y FROM c0 WHERE p.n IS NOT NULL AND isfinite(p.y) AND p.y >= 0 GROUP BY ALL),
 m AS (SELECT *, max(y) OVER (PARTITION BY row_id ORDER BY n) AS m, max(y) OVER (PARTITION BY row_id) AS top FROM c),
 p AS (SELECT row_id, n, greatest(1e-4::DOUBLE, least(1 - 1e-4::DOUBLE, m / top)) AS p FROM m WHERE top > 0),
 q AS (SELECT *, sqrt(-2 * ln(p)) AS ql, sqrt(-2 * ln(1 - p)) AS qh, p - 0.5 AS d, (p - 0.5) * (p - 0.5) AS r FROM p),
-z AS (SELECT row_id, n, CASE WHEN p < 0.02425 THEN {_tail('ql')} WHEN p > 1 - 0.02425 THEN -{_tail('qh')} ELSE {_poly('r', _A)} * d / ({_poly('r', _B)} * r + 1) END AS z FROM q),
+z AS (SELECT row_id, n, CASE WHEN p < 0.02425 THEN {_tail('ql')} WHEN p > 1 - 0.02425 THEN -{_tail('qh')} ELSE {_poly('r', QUANTILE_A)} * d / ({_poly('r', QUANTILE_B)} * r + 1) END AS z FROM q),
 f AS (SELECT row_id, count(*) AS n_points, regr_slope(ln(n), z) AS sigma, regr_intercept(ln(n), z) AS mu, var_pop(z) AS v FROM z GROUP BY 1)
 SELECT row_id, n_points, round(mu, 5) AS mu, round(greatest(sigma, 1e-6), 5) AS sigma FROM f WHERE v * n_points > 1e-12 AND sigma IS NOT NULL""",
 }

@@ -169,6 +169,21 @@ _REST = """, cov AS (SELECT w.obj, w.view_number, list(w.voxel) AS vs FROM w LEF
 SQL = {
     "max_coverage": _COVER + greedy_sql(_BEST, steps=3) + "SELECT obj, count(*) AS n_views, max(n_covered) AS n_covered FROM pk GROUP BY 1",
     "residual_cover": _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + _REST + greedy_sql(_BEST) + "SELECT obj, step, view_number, gain, n_covered FROM pk",
+    "farthest_views": _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", ps AS (SELECT obj, view_number, {_EYE.format(r=1.0)} FROM (SELECT DISTINCT obj, view_number FROM w WHERE view_number BETWEEN 0 AND 127)),
+fp AS (SELECT obj, view_number, ex, ey, ez, 'inf'::DOUBLE AS gap, 0 AS place FROM ps
+UNION ALL SELECT obj, view_number, ex, ey, ez, least(gap, round(sqrt((ex - fx) * (ex - fx) + (ey - fy) * (ey - fy) + (ez - fz) * (ez - fz)), 9)), place + 1 FROM (
+  SELECT *, first_value(ex) OVER o AS fx, first_value(ey) OVER o AS fy, first_value(ez) OVER o AS fz FROM fp WINDOW o AS (PARTITION BY obj ORDER BY gap DESC, view_number)) WHERE place < 3)
+SELECT obj, place, view_number, CASE WHEN isfinite(gap) THEN round(gap, 6) END AS gap FROM (SELECT *, row_number() OVER (PARTITION BY obj, place ORDER BY gap DESC, view_number) AS k FROM fp) WHERE k = 1 AND gap > 0""",
+    "open_path": f"""WITH RECURSIVE s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id, step_id ORDER BY row_id) AS rk FROM method_steps WHERE covered_voxel_count IS NOT NULL)
+  WHERE rk = 1 AND oracle_nbv_view_id BETWEEN 0 AND 127),
+o AS (SELECT run_id, start_view_id, oracle_nbv_view_id AS view_number, min(step_id) AS step_id FROM s GROUP BY ALL),
+nd AS (SELECT run_id, start_view_id, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY step_id, view_number) - 1 AS idx,
+  count(*) OVER (PARTITION BY run_id, start_view_id) AS n, {_EYE.format(r=1.0)} FROM o),
+pa AS (SELECT run_id, start_view_id, n, [idx] AS seen, 0.0::DOUBLE AS cost, ex, ey, ez FROM nd WHERE idx = 0
+UNION ALL SELECT pa.run_id, pa.start_view_id, pa.n, list_append(seen, nd.idx),
+  round(cost + sqrt((pa.ex - nd.ex) * (pa.ex - nd.ex) + (pa.ey - nd.ey) * (pa.ey - nd.ey) + (pa.ez - nd.ez) * (pa.ez - nd.ez)), 9), nd.ex, nd.ey, nd.ez
+  FROM pa JOIN nd ON pa.run_id = nd.run_id AND pa.start_view_id = nd.start_view_id WHERE NOT list_contains(seen, nd.idx))
+SELECT run_id, start_view_id, n AS n_nodes, round(min(cost), 6) AS cost, 'exact' AS method FROM pa WHERE len(seen) = n GROUP BY ALL""",
     "stop_reasons": """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id, step_id ORDER BY row_id) AS rk FROM method_steps WHERE covered_voxel_count IS NOT NULL) WHERE rk = 1),
 l AS (SELECT *, row_number() OVER (PARTITION BY run_id, start_view_id ORDER BY step_id DESC) AS k, count(*) OVER (PARTITION BY run_id, start_view_id) AS n FROM s)
 SELECT CASE WHEN covered_ratio >= 0.999 THEN 'full_coverage' WHEN coalesce(oracle_nbv_gain, 0) <= 0 THEN 'no_gain' WHEN oracle_nbv_view_id IS NULL THEN 'no_view'

@@ -168,7 +168,7 @@ SQL = {
     "float_bin_hist": _M + f" SELECT round(round(({A} - {A} % 0.05::DOUBLE) / 0.05::DOUBLE) * 0.05::DOUBLE, 2) AS bin, count(*) AS n FROM m WHERE {A} IS NOT NULL GROUP BY 1",
     "int_bin_cond_stats": _M + f" SELECT binned, bin, value, count(*) AS n, round(avg(x), 6) AS mean, min(x) AS min, max(x) AS max FROM ({_COND}) WHERE bin IS NOT NULL AND x IS NOT NULL GROUP BY ALL",
     "grouping_sets_hist": _HIST + " SELECT * FROM h",
-    "five_number": _M + " SELECT split_name, measure, count(*) AS n, " + _FIVE + " FROM (" + " UNION ALL ".join(f"SELECT split_name, '{c}' AS measure, {c}::DOUBLE AS x FROM m" for c in (A, B, C, "gt_surface_voxel_count", "area", "volume")) + ") WHERE x IS NOT NULL GROUP BY ALL",
+    "five_number": _M + " SELECT split_name, measure, count(x) AS n, " + _FIVE + " FROM (" + " UNION ALL ".join(f"SELECT split_name, '{c}' AS measure, {c}::DOUBLE AS x FROM m" for c in (A, B, C, "gt_surface_voxel_count", "area", "volume")) + ") GROUP BY ALL",
     "method_table": f"""SELECT batch_id, count(*) AS n, round(avg(a), 6) AS a_mean, round(CASE WHEN count(a) = 1 THEN 0.0::DOUBLE ELSE stddev_samp(a) END, 6) AS a_std, min(a) AS a_min, max(a) AS a_max,
 count(DISTINCT fit_type) + max((fit_type IS NULL)::INTEGER) AS n_fit_types, round(count(a)::DOUBLE / count(*), 6) AS fit_rate, round(avg(CASE WHEN a IS NOT NULL THEN b_continuous END), 6) AS b_mean_fitted
 FROM (SELECT *, {_N.format('a_fit')} AS a FROM saturation) GROUP BY batch_id""",

@@ -9,8 +9,8 @@ from viewmill.streaming.steps import drained, file_stream, first_deliveries, sta
 
 
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each type in windows of six hours, every window once it is complete."""
-    counts = windowed_counts(file_stream(spark, sf_dir, "events"), "0 seconds", "6 hours")
+    """Events of each type in windows of six hours; no event comes too late for its window."""
+    counts = windowed_counts(file_stream(spark, sf_dir, "events"), "3650 days", "6 hours")
     out = drained(counts, "windows", "update")
     return out.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 

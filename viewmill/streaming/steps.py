@@ -1,7 +1,8 @@
 """Structured Streaming over step and event records.
 
-A stream is a folder of parquet files. Every query here takes what is there (``availableNow``), writes
-to the shared folder with a checkpoint beside it, and can be continued when files arrive.
+A stream is a folder of parquet files. Every query here takes what is there (``availableNow``) and writes to
+a folder with a checkpoint beside it; called again with the same folder it goes on with the files that have
+arrived since. Results don't depend on how rows fall into batches.
 """
 
 from __future__ import annotations
@@ -31,15 +32,19 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream over what has arrived and read the output back."""
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run the stream over what has arrived and read all its output so far.
+
+    ``folder`` holds output and checkpoint; the same folder continues the stream, none makes a new one.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
+    base = folder or scratch_path(spark, name)
+    out = f"{base}/output"
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # idempotent: a repeated epoch replaces itself
 
-    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).option("basePath", out).parquet(out).select(*stream.columns)
 
@@ -61,32 +66,49 @@ def first_deliveries(steps: DataFrame, watermark: str = "60 days") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["run_id", "start_view_id", "step_id"])
 
 
-STATE = "size long, run long, stable_at long, steps long, last long"
-RESULT = "run_id long, start_view_id int, stable_at long, n_steps long"
-
-
-def _stabilise(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, tau: float, patience: int) -> Iterator[pd.DataFrame]:
-    size, run, stable_at, steps, last = state.get if state.exists else (-1, 0, -1, 0, -1)
-    rows = pd.concat(list(frames)).sort_values(["step_id", "row_id"])
-    for step, n in zip(rows["step_id"], rows["covered_voxel_count"], strict=True):
-        if step <= last:  # delivered again, or stale
-            continue
-        run = run + 1 if size >= 0 and (n - size) / max(size, 1) < tau else 0
-        size, steps, last = int(n), steps + 1, int(step)
-        if run >= patience and stable_at < 0:
-            stable_at = int(step)
-    state.update((size, run, stable_at, steps, last))
-    yield pd.DataFrame({"run_id": [key[0]], "start_view_id": [key[1]], "stable_at": [stable_at], "n_steps": [steps]})
-
-
-def stabilisation(steps: DataFrame, tau: float = 0.05, patience: int = 2) -> DataFrame:
-    """Running stabilisation of each run from each start view: the accumulator is five numbers per run.
-
-    At most one action counts per step: a step that is not after the last one is ignored.
+STATE = "steps array<long>, sizes array<long>"
+RESULT = "run_id long, start_view_id int, stable_at long, n_steps long, ended boolean"
+
+
+def stable_step(steps: list[int], sizes: list[int], tau: float, patience: int) -> int:
+    """The first step after ``patience`` relative gains in a row below ``tau``; -1 if there is none."""
+    run = 0
+    for i in range(1, len(steps)):
+        run = run + 1 if (sizes[i] - sizes[i - 1]) / max(sizes[i - 1], 1) < tau else 0
+        if run >= patience:
+            return steps[i]
+    return -1
+
+
+def _stabilise(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, tau: float, patience: int, idle_ms: int | None) -> Iterator[pd.DataFrame]:
+    seen = dict(zip(*state.get, strict=True)) if state.exists else {}
+    ended = state.hasTimedOut
+    if not ended:
+        rows = pd.concat(list(frames)).sort_values(["step_id", "row_id"])
+        for step, n in zip(rows["step_id"], rows["covered_voxel_count"], strict=True):
+            seen.setdefault(int(step), int(n))  # a step delivered again counts as it first came
+        steps = sorted(seen)
+        state.update((steps, [seen[s] for s in steps]))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+    else:
+        state.remove()
+    steps = sorted(seen)
+    stable = stable_step(steps, [seen[s] for s in steps], tau, patience)
+    yield pd.DataFrame({"run_id": [key[0]], "start_view_id": [key[1]], "stable_at": [stable], "n_steps": [len(steps)], "ended": [ended]})
+
+
+def stabilisation(steps: DataFrame, tau: float = 0.05, patience: int = 2, idle_ms: int | None = None) -> DataFrame:
+    """Running stabilisation of each run from each start view.
+
+    The state is the run's steps and their sizes, as many as a run has views; late steps take their place in
+    step order. With ``idle_ms`` a run without a new step for so long is closed: it comes out once more, with
+    ``ended``, and its state is dropped.
     """
     usable = steps.where("covered_voxel_count is not null").select("row_id", "run_id", "start_view_id", "step_id", "covered_voxel_count")
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _stabilise(key, frames, state, tau, patience)
+        return _stabilise(key, frames, state, tau, patience, idle_ms)
 
-    return usable.groupBy("run_id", "start_view_id").applyInPandasWithState(update, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return usable.groupBy("run_id", "start_view_id").applyInPandasWithState(update, RESULT, STATE, "update", timeout)
