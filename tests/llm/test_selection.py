@@ -164,3 +164,22 @@ def test_smaller_quota_is_a_subset(spark, seed):
     _, many = lines_of(spark, [(1, "a", "x", 1.0, 0, 50)])
     ids = lambda lines: {r.uid for r in quota.draw(objects, quota.quotas(lines), seed).collect()}
     assert len(ids(few)) == 5 and ids(few) < ids(many)
+
+
+def test_a_day_is_added_without_the_values_of_the_old_ones(spark):
+    from viewmill.llm import percentiles as p
+
+    rng = random.Random(4)
+    rows = [(g, d, rng.lognormvariate(0, 3) * rng.choice((1, 1, -1))) for g in ("a", None) for d in range(4) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, day int, value double")
+    pcts = spark.createDataFrame([(1,), (50,), (99,)], "pct int")
+    kept = p.value_parts(df.where("day < 3"), ["g"], ["day"]).cache()
+    assert kept.count() > 0
+    new = p.value_parts(df.where("day = 3"), ["g"], ["day"])  # reads the new day only
+    got = {(r.g, r.pct): r for r in p.percentiles_of_parts(p.merged_parts([kept, new], ["g"], ["day"]), ["g"], pcts).collect()}
+    exact = {(r.g, r.pct): r for r in p.percentiles(df, ["g"], ["day"], pcts).collect()}
+    assert set(got) == set(exact) and len(got) == 6
+    for key, r in got.items():
+        assert r.n == exact[key].n == 1200 and r.low <= exact[key].low <= r.high and r.high - r.low <= abs(r.high) * 2.0**-19
+    twice = {(r.g, r.pct): r.n for r in p.percentiles_of_parts(p.merged_parts([kept, kept, new], ["g"], ["day"]), ["g"], pcts).collect()}
+    assert set(twice.values()) == {2100}

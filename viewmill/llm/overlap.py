@@ -3,7 +3,8 @@
 An exact prefix-filter join on rare shingles. A record is a set of shingles (pieces of its uid, or
 grid cells of its measurements). If two records must share ``t`` of ``k`` shingles, they share one of
 the ``k - t + 1`` rarest, counted over both sides, so only those are indexed; the pairs that meet in
-one are held against the position bound (can the rest still reach ``t``?) and then verified in full.
+one are held against the position bound (can the rest still reach ``t``?) and then verified in full. Within
+a prefix of k - t + 1 places the bound holds everywhere; it excludes pairs where a longer prefix is indexed.
 Equal records of a side are joined once, as a class, and expanded to member pairs at the end.
 
 Defined results
@@ -22,8 +23,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewmill.operators.salted import salted_join
 from viewmill.session import written
 
+HOT_ROWS = 100_000
+
 TRAIN = ("main_raw_train", "main_balanced_train")
 EVAL = ("main_analysis_test", "hidden_test", "demo_hidden_test", "demo_long_tail")
 EQUAL = ("observation_saturation_view_num", "selected_view_count")
@@ -51,16 +55,17 @@ def with_rarity(shingles: DataFrame, counts: DataFrame, prefix: int | None) -> D
     return each.select("record", "size", "place", F.col("s.shingle").alias("shingle"))
 
 
-def shingle_join(index: DataFrame, probe: DataFrame, need: Column, keep: Column) -> DataFrame:
+def shingle_join(index: DataFrame, probe: DataFrame, need: Column, keep: Column, hot: int = HOT_ROWS) -> DataFrame:
     """Pairs of records that meet in an indexed shingle, can reach the overlap ``need`` and pass ``keep``.
 
-    Both sides have record, size, place, shingle; ``keep`` compares ``e`` with ``t``. A shingle of a
-    third of all records would be among the last in rarity order; what remains hot is split by AQE.
+    Both sides have record, size, place, shingle; ``keep`` compares ``e`` with ``t``. From the places at which
+    they meet two records can still share at most the smaller number of shingles left. A shingle with more
+    than ``hot`` probing records is salted.
     """
     left = index.select("shingle", F.col("record").alias("e"), F.col("size").alias("es"), F.col("place").alias("ep"))
     right = probe.select("shingle", F.col("record").alias("t"), F.col("size").alias("ts"), F.col("place").alias("tp"))
     reach = F.least(F.col("es") - F.col("ep"), F.col("ts") - F.col("tp")) >= need
-    return left.join(right, "shingle").where(reach & keep).select("e", "t").distinct()
+    return salted_join(right, left, "shingle", hot).where(reach & keep).select("e", "t").distinct()
 
 
 def uid_pairs(evals: DataFrame, trains: DataFrame, pieces: int = 5, differ: int = 2) -> DataFrame:

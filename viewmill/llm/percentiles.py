@@ -5,6 +5,9 @@ values that share the digits found so far, separately for each part (here a day)
 counts of separate partitions or days can be combined at any time. The cumulative counts of the
 combined parts show the digit that holds each target rank, and only that digit is followed.
 
+Parts can be kept: ``value_parts`` gives the counts of the first digits of a day's values, ``percentiles_of_parts``
+the percentiles of any kept parts together, so a new day is added without reading the old ones' values.
+
 Four passes give exact values. Fewer give an interval [low, high] that holds the value; its relative
 width is below 2^-4 after one pass, 2^-20 after two, 2^-36 after three.
 
@@ -43,7 +46,36 @@ def from_ordered_bits(k: pd.Series) -> pd.Series:
 def digit_parts(keyed: DataFrame, group: list[str], part: list[str], level: int) -> DataFrame:
     """Mergeable part of a pass: how many values of each group and part have each prefix of ``level`` digits."""
     prefix = F.shiftright("key", 64 - DIGIT * level)
-    return keyed.groupBy(*group, *part, prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return keyed.groupBy(*group, *part, prefix.alias("prefix")).agg(F.sum("n").alias("n"))
+
+
+def keyed_values(values: DataFrame, group: list[str], part: list[str]) -> DataFrame:
+    """group, part, key and n = 1 of every value that is one."""
+    usable = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return usable.select(*group, *part, ordered_bits("value").alias("key"), F.lit(1).cast("long").alias("n"))
+
+
+def value_parts(values: DataFrame, group: list[str], part: list[str], digits: int = 2) -> DataFrame:
+    """What to keep of each part (say a day): counts of the values' first ``digits`` digits, as group, part, prefix, n.
+
+    A kept part stands for its values in every later percentile, within the error of so many digits; the
+    values aren't read again.
+    """
+    return digit_parts(keyed_values(values, group, part), group, part, digits)
+
+
+def merged_parts(parts: list[DataFrame], group: list[str], part: list[str]) -> DataFrame:
+    """Kept parts as one: counts add up, so several tables may hold counts of one part."""
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.groupBy(*group, *part, "prefix").agg(F.sum("n").alias("n"))
+
+
+def percentiles_of_parts(parts: DataFrame, group: list[str], pcts: DataFrame, digits: int = 2) -> DataFrame:
+    """``percentiles`` from kept parts alone: intervals [low, high] of so many digits."""
+    keyed = parts.select(*group, F.shiftleft("prefix", 64 - DIGIT * digits).alias("key"), "n")
+    return _followed(written(keyed, "radix-keys"), group, [], pcts, digits)
 
 
 def percentiles(values: DataFrame, group: list[str], part: list[str], pcts: DataFrame, passes: int = 4) -> DataFrame:
@@ -52,9 +84,13 @@ def percentiles(values: DataFrame, group: list[str], part: list[str], pcts: Data
     ``pcts`` holds the wanted pct and may hold some of the group columns to restrict it to them.
     The values are written once as (group, part, key) and read once in each pass; only counts are shuffled.
     """
-    usable = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    keyed = written(usable.select(*group, *part, ordered_bits("value").alias("key")), "radix-keys")
+    return _followed(written(keyed_values(values, group, part), "radix-keys"), group, part, pcts, passes)
+
+
+def _followed(keyed: DataFrame, group: list[str], part: list[str], pcts: DataFrame, passes: int) -> DataFrame:
+    """The passes: each counts a digit of the keys and follows those that hold a target rank."""
     shared = [c for c in pcts.columns if c in group]
+    pcts = broadcast_if_small(written(pcts, "radix-percentiles"))
     targets = None
     for level in range(1, passes + 1):
         rows = keyed
@@ -68,7 +104,7 @@ def percentiles(values: DataFrame, group: list[str], part: list[str], pcts: Data
         bins = merged.withColumn("upto", F.sum("n").over(Window.partitionBy(*group, "above").orderBy("prefix")))
         if targets is None:
             sizes = bins.groupBy(*group).agg(F.sum("n").alias("n_values"))
-            joined = sizes.join(F.broadcast(pcts), shared) if shared else sizes.crossJoin(F.broadcast(pcts))
+            joined = sizes.join(pcts, shared) if shared else sizes.crossJoin(pcts)  # every percentile of every group
             rank = F.greatest(F.lit(1), F.ceil(F.col("pct") * F.col("n_values") / 100)).cast("long")
             asked = joined.select(*group, "pct", "n_values", rank.alias("rank"), F.lit(0).cast("long").alias("prefix"))
         else:

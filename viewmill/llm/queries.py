@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from viewmill.llm.bpe import decode_ids, encode_texts
 from viewmill.llm.leak import decontaminated, leaks
 from viewmill.llm.overlap import cross_split_pairs
-from viewmill.llm.percentiles import digit_parts, ordered_bits, saturation_percentiles, saturation_values
+from viewmill.llm.percentiles import percentiles_of_parts, saturation_percentiles, saturation_values, value_parts
 from viewmill.llm.quota import categorised, draw, quotas, report, strata
 from viewmill.llm.toxicity import LIMIT, document_scores
 from viewmill.llm.topn import top_candidates
@@ -33,9 +33,15 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_day_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mergeable parts of the first pass: counts of the leading digit for each batch, metric and day."""
-    keyed = saturation_values(table(spark, sf_dir, "saturation")).withColumn("key", ordered_bits("value"))
-    return digit_parts(keyed, ["batch_id", "metric"], ["run_day"], 1)
+    """The parts to keep: counts of the first two digits of the values of each batch, metric and day."""
+    return value_parts(saturation_values(table(spark, sf_dir, "saturation")), ["batch_id", "metric"], ["run_day"])
+
+
+def p2_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from the kept parts of all days alone, as intervals of relative width below 2^-20."""
+    pcts = table(spark, sf_dir, "percentile_limits").select("metric", "pct").distinct()
+    found = percentiles_of_parts(written(p2_day_parts(spark, sf_dir), "day-parts"), ["batch_id", "metric"], pcts)
+    return found.select("batch_id", "metric", "pct", F.col("n").alias("n_values"), "low", "high")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +137,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
     "p2_day_parts": p2_day_parts,
+    "p2_from_parts": p2_from_parts,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p5_found": p5_found,
