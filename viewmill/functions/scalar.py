@@ -174,3 +174,8 @@ def bisect(lo: Column, hi: Column, holds, steps: int = 60) -> Column:
         return F.get(F.transform(mid, lambda m: F.when(holds(m), below(m)).otherwise(above(m))), 0)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["hi"])
+
+
+def overlap_quality(x: Column) -> Column:
+    """1 for an overlap between 0.4 and 0.5, falling by parabolas to 0 at 0 and 1."""
+    return F.when(x <= 0.4, -6.25 * x * x + 5.0 * x).when(x < 0.5, 1.0).otherwise(F.greatest(F.lit(0.0), -4.0 * x * x + 4.0 * x))

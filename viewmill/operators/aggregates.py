@@ -133,3 +133,11 @@ def unpivot_bins(df: DataFrame, bins: dict[str, Column], values: list[str]) -> D
 def filled_histogram(counts: DataFrame, domain: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Counts for every key of ``domain``, 0 where there is none."""
     return domain.join(counts, keys, "left").withColumn(n, F.coalesce(n, F.lit(0)))
+
+
+def five_numbers_by_sets(values: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
+    """``five_numbers`` for every subset of ``columns``; a column outside the subset is null, ``grouping`` names those in it."""
+    subsets = [[c for i, c in enumerate(columns) if mask >> i & 1] for mask in range(1 << len(columns))]
+    keys = F.array(*(F.struct(F.lit(",".join(s)).alias("grouping"), *(F.col(c).alias(c) if c in s else F.lit(None).cast("string").alias(c) for c in columns)) for s in subsets))
+    rows = values.select(*keep, "x", F.inline(keys))
+    return five_numbers(rows, ["grouping", *columns, *keep])

@@ -71,3 +71,28 @@ def canonical_ids(ids: Column, drop: Column | None = None, size: int | None = No
     if drop is not None:
         kept = F.array_except(kept, F.coalesce(drop, F.array().cast("array<int>")))
     return F.array_sort(F.array_distinct(kept))
+
+
+def keep_columns(df: DataFrame, wanted: list[str], rename: dict[str, str] | None = None) -> DataFrame:
+    """The wanted columns that exist, in that order, some under new names."""
+    new = rename or {}
+    return df.select(*(F.col(c).alias(new.get(c, c)) for c in wanted if c in df.columns))
+
+
+def retry_reason(
+    error: Column, load_ok: Column, all_failed: bool = False, not_loaded: bool = False, exact: list[str] = (), contains: list[str] = (), pattern: str | None = None
+) -> Column:
+    """Why a row is to be tried again, by the first rule that holds; null if none does. ``error`` is null where there was none."""
+    rules: list[tuple[str, Column]] = []
+    if all_failed:
+        rules.append(("all_failed", error.isNotNull()))
+    if not_loaded:
+        rules.append(("not_loaded", ~F.coalesce(load_ok, F.lit(False))))
+    rules += [(f"error={e}", error == e) for e in exact]
+    rules += [(f"contains={t}", F.contains(error, F.lit(t))) for t in contains]
+    if pattern is not None:
+        rules.append((f"matches={pattern}", error.rlike(pattern)))
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(rules):
+        out = F.when(holds, name).otherwise(out)
+    return out

@@ -161,3 +161,45 @@ def set_distance(a: Column, b: Column) -> Column:
     nearest = F.transform(a, lambda p: F.array_min(F.transform(b, lambda q: d2(p, q))))
     total = F.aggregate(nearest, F.lit(0.0), lambda s, x: s + x)
     return F.when((F.size(a) > 0) & (F.size(b) > 0), total / F.size(a))
+
+
+def voxel_centre(size: float, origin: float = 0.0) -> dict[str, Column]:
+    """The middle cx, cy, cz of the cell vx, vy, vz."""
+    return {f"c{a}": (F.col(f"v{a}") + 0.5) * size + origin for a in "xyz"}
+
+
+def back_projected(pixels: DataFrame, focal: float, centre: float, limit: float) -> DataFrame:
+    """Points x, y, z of pixels u, v with a depth: rays through pixel middles; no, infinite or non-positive depths and points beyond ``limit`` are left out."""
+    d = F.col("depth")
+    points = pixels.where(d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < float("inf")))
+    points = points.withColumns({"x": (F.col("u") + 0.5 - centre) / focal * d, "y": (F.col("v") + 0.5 - centre) / focal * d, "z": d})
+    return points.where((F.abs("x") <= limit) & (F.abs("y") <= limit) & (F.abs("z") <= limit))
+
+
+def finite_inside(low: float, high: float) -> Column:
+    """Are x, y and z numbers within the box?"""
+    return sum((F.coalesce((~F.isnan(F.col(a)) & F.col(a).between(low, high)).cast("int"), F.lit(0)) for a in "xyz"), F.lit(0)) == 3
+
+
+def dense_grid(cells: DataFrame, key: list[str], value: str, default: float) -> DataFrame:
+    """Every cell of each key's bounding box, with ``default`` where there is none; the box's cells are made in tasks."""
+    spans = cells.groupBy(*key).agg(*(f(f"v{a}").alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    grid = spans
+    for a in "xyz":
+        grid = grid.withColumn(f"v{a}", F.explode(F.sequence(f"lo{a}", f"hi{a}")))
+    grid = grid.select(*key, "vx", "vy", "vz")
+    return grid.join(cells.select(*key, "vx", "vy", "vz", value), [*key, "vx", "vy", "vz"], "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def frontier_weights(cells: DataFrame, frontier: DataFrame, key: list[str], alpha: float, reach: int) -> DataFrame:
+    """exp(-alpha^2 d^2) for the distance in cells to the nearest frontier cell; 0 beyond ``reach`` cells along any axis.
+
+    Frontier cells are put into every cell they reach, so the join is an equi-join.
+    """
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    near = frontier.select(*key, *(F.col(f"v{a}").alias(f"f{a}") for a in "xyz"))
+    for a in "xyz":
+        near = near.withColumn(f"d{a}", F.explode(steps)).withColumn(f"v{a}", F.col(f"f{a}") + F.col(f"d{a}"))
+    d2 = sum((F.col(f"d{a}") * F.col(f"d{a}") for a in "xyz"), F.lit(0))
+    best = near.groupBy(*key, "vx", "vy", "vz").agg(F.min(d2).alias("d2"))
+    return cells.join(best, [*key, "vx", "vy", "vz"], "left").withColumn("weight", F.coalesce(F.exp(-alpha * alpha * F.col("d2")), F.lit(0.0)))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewmill.operators.positions import positions
+from viewmill.session import written
+
 
 def override_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a non-null value of the right side replaces the left one of the same name."""
@@ -103,3 +106,30 @@ def nearest(
         out = out.unionByName(source.mapInArrow(run, schema))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k)
+
+
+def tolerance_anti(left: DataFrame, blocked: DataFrame, key: list[str], dims: list[str], atol: float) -> DataFrame:
+    """Left rows that no blocked row of their key equals within ``atol`` in every dimension.
+
+    Both sides lie on a grid of width 2 * atol; a blocked row is put into every cell that its tolerance
+    touches (at most two a dimension) and a left row looks into its own, so the join is an equi-join and each
+    left row is read once.
+    """
+    width = 2 * atol
+    cells = [f"_cell{i}" for i in range(len(dims))]
+    rows = left.withColumns({c: F.floor(F.col(d) / width).cast("long") for c, d in zip(cells, dims, strict=True)})
+    touched = blocked.select(*key, *(F.col(d).alias(f"_b{d}") for d in dims)).distinct()
+    for c, d in zip(cells, dims, strict=True):
+        ends = [F.floor((F.col(f"_b{d}") + s * atol * (1 + 1e-9)) / width).cast("long") for s in (-1, 1)]
+        touched = touched.withColumn(c, F.explode(F.array_distinct(F.array(*ends))))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, *cells)]
+    near = [F.abs(F.col(f"l.{d}") - F.col(f"b._b{d}")) <= atol for d in dims]
+    return rows.alias("l").join(touched.alias("b"), [*on, *near], "left_anti").drop(*cells)
+
+
+def restored_order(left: DataFrame, right: DataFrame, key: str, right_order: list[Column], left_order: list[Column]) -> DataFrame:
+    """Left rows in the order in which their keys first stand in ``right``, the others behind in their own order: adds place."""
+    first = positions(right.select(key, F.struct(*right_order).alias("_o")), [], [F.asc("_o")], None, "_at")
+    at = written(first.groupBy(key).agg(F.min("_at").alias("_at")), "key-order")
+    joined = left.join(at, key, "left").withColumn("_late", F.col("_at").isNull())
+    return positions(joined, [], [F.asc("_late"), F.asc("_at"), *left_order], None, "place").drop("_at", "_late")

@@ -15,6 +15,8 @@ def salted_join(many: DataFrame, few: DataFrame, key: str, hot: int = 1_000_000)
     rows / ``hot`` hot keys, counted with map-side sums and written, so that their join can be broadcast.
     """
     many = written(many, "salted")
+    if many.count() <= hot:  # read off the files' footers
+        return many.join(few, key)
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
     salts = written(counts.select(key, F.ceil(F.col("_n") / hot).cast("int").alias("_salts")), "salts")
     if salts.isEmpty():

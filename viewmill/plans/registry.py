@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewmill.plans import coverage, curation, fits, nesting, planning, records, relational, sequences, shapes, stats, streams
+from viewmill.plans import candidates, coverage, curation, fits, nesting, planning, records, relational, sequences, shapes, stats, streams
 
-MODULES: tuple[ModuleType, ...] = (curation, stats, relational, sequences, nesting, fits, coverage, shapes, planning, streams, records)
+MODULES: tuple[ModuleType, ...] = (curation, stats, relational, sequences, nesting, fits, coverage, shapes, planning, streams, records, candidates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
