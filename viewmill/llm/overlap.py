@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from viewmill.operators.salted import salted_join
 from viewmill.session import written
 
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 
 TRAIN = ("main_raw_train", "main_balanced_train")
 EVAL = ("main_analysis_test", "hidden_test", "demo_hidden_test", "demo_long_tail")
