@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from viewmill.session import broadcast_if_small, written
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, key: str, hot: int = 1_000_000, at_most: int | None = None) -> DataFrame:
     """Inner join on ``key``; rows of ``many`` with a key of more than ``hot`` rows are spread over salts.
 
     Only the rows of ``few`` with such a key are repeated, once for each salt. There are at most
     rows / ``hot`` hot keys, counted with map-side sums and written, so that their join can be broadcast.
+    ``at_most``: a known bound of the rows of ``many``; where even that isn't hot nothing is counted.
     """
+    if at_most is not None and at_most <= hot:
+        return many.join(few, key)
     many = written(many, "salted")
     if many.count() <= hot:  # read off the files' footers
         return many.join(few, key)
