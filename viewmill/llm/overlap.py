@@ -55,20 +55,20 @@ def with_rarity(shingles: DataFrame, counts: DataFrame, prefix: int | None) -> D
     return each.select("record", "size", "place", F.col("s.shingle").alias("shingle"))
 
 
-def shingle_join(index: DataFrame, probe: DataFrame, need: Column, keep: Column, hot: int = HOT_ROWS) -> DataFrame:
+def shingle_join(index: DataFrame, probe: DataFrame, need: Column, keep: Column, at_most: int | None = None, hot: int = HOT_ROWS) -> DataFrame:
     """Pairs of records that meet in an indexed shingle, can reach the overlap ``need`` and pass ``keep``.
 
     Both sides have record, size, place, shingle; ``keep`` compares ``e`` with ``t``. From the places at which
     they meet two records can still share at most the smaller number of shingles left. A shingle with more
-    than ``hot`` probing records is salted.
+    than ``hot`` probing records is salted; ``at_most`` bounds the probing rows where that is known.
     """
     left = index.select("shingle", F.col("record").alias("e"), F.col("size").alias("es"), F.col("place").alias("ep"))
     right = probe.select("shingle", F.col("record").alias("t"), F.col("size").alias("ts"), F.col("place").alias("tp"))
     reach = F.least(F.col("es") - F.col("ep"), F.col("ts") - F.col("tp")) >= need
-    return salted_join(right, left, "shingle", hot).where(reach & keep).select("e", "t").distinct()
+    return salted_join(right, left, "shingle", hot, at_most).where(reach & keep).select("e", "t").distinct()
 
 
-def uid_pairs(evals: DataFrame, trains: DataFrame, pieces: int = 5, differ: int = 2) -> DataFrame:
+def uid_pairs(evals: DataFrame, trains: DataFrame, pieces: int = 5, differ: int = 2, n_trains: int | None = None) -> DataFrame:
     """Pairs of distinct digits that differ in at most ``differ`` positions: columns e, t.
 
     A differing position spoils one of the ``pieces`` pieces, so ``pieces - differ`` are shared.
@@ -96,12 +96,12 @@ def uid_pairs(evals: DataFrame, trains: DataFrame, pieces: int = 5, differ: int
     prefix = differ + 1
     near = distance(F.col("e.w"), F.col("t.w")) <= differ
     found = shingle_join(
-        with_rarity(left, counts, prefix), with_rarity(right, counts, prefix), F.lit(pieces - differ), near
+        with_rarity(left, counts, prefix), with_rarity(right, counts, prefix), F.lit(pieces - differ), near, None if n_trains is None else prefix * n_trains
     )
     return found.select(F.col("e.digits").alias("e"), F.col("t.digits").alias("t"))
 
 
-def measure_pairs(evals: DataFrame, trains: DataFrame, tolerance: float = 0.001, cell: float = 0.01) -> DataFrame:
+def measure_pairs(evals: DataFrame, trains: DataFrame, tolerance: float = 0.001, cell: float = 0.01, n_trains: int | None = None) -> DataFrame:
     """Pairs of distinct measurement tuples that agree: columns e, t (structs of the six values).
 
     The four close measurements lie on a logarithmic grid of ``cell``. A record's two shingles are the
@@ -141,7 +141,8 @@ def measure_pairs(evals: DataFrame, trains: DataFrame, tolerance: float = 0.001,
         a, b = F.col(f"e.{c}"), F.col(f"t.{c}")
         agree &= F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * tolerance
     probe = right.select("record", F.lit(1).alias("size"), F.lit(0).alias("place"), "shingle")
-    return shingle_join(with_rarity(left, counts, 1), probe, F.lit(1), agree)
+    most = None if n_trains is None else 8 * n_trains  # two shingles of at most two cells by two
+    return shingle_join(with_rarity(left, counts, 1), probe, F.lit(1), agree, most)
 
 
 def cross_split_pairs(members: DataFrame) -> DataFrame:
@@ -152,9 +153,9 @@ def cross_split_pairs(members: DataFrame) -> DataFrame:
         ),
         "members",
     )
-    evals, trains = rows.where("not is_train"), rows.where("is_train")
+    evals, trains, n_trains = rows.where("not is_train"), rows.where("is_train"), rows.count()
     by_uid = (
-        uid_pairs(evals, trains)
+        uid_pairs(evals, trains, n_trains=n_trains)
         .join(evals.select("member_id", F.col("digits").alias("e")).withColumnRenamed("member_id", "eval_member"), "e")
         .join(trains.select("member_id", F.col("digits").alias("t")).withColumnRenamed("member_id", "train_member"), "t")
     )
@@ -162,7 +163,7 @@ def cross_split_pairs(members: DataFrame) -> DataFrame:
     def six(df: DataFrame, member: str, side: str) -> DataFrame:
         return df.select(F.col("member_id").alias(member), *(F.col(c).cast("double" if c in CLOSE else "int").alias(f"{side}_{c}") for c in (*EQUAL, *CLOSE)))
 
-    found = measure_pairs(evals, trains).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "et" for c in (*EQUAL, *CLOSE)))
+    found = measure_pairs(evals, trains, n_trains=n_trains).select(*(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "et" for c in (*EQUAL, *CLOSE)))
     by_measure = found.join(six(evals, "eval_member", "e"), [f"e_{c}" for c in (*EQUAL, *CLOSE)]).join(
         six(trains, "train_member", "t"), [f"t_{c}" for c in (*EQUAL, *CLOSE)]
     )
