@@ -40,6 +40,9 @@ def test_key_values_and_curves(spark, tmp_path):
     got = readers.key_value_texts(spark, str(tmp_path), ["A_fit", "fit_type"])
     assert rows(got, "stem") == [("u1", "0.5", "log: normal"), ("u2", None, "x")]
     assert rows(readers.key_value_texts(spark, str(tmp_path), ["A_fit", "fit_type"], ["A_fit"]).select("stem")) == [("u1",)]
+    assert [(r.stem, r.missing) for r in readers.missing_keys(spark, str(tmp_path), ["A_fit", "fit_type"]).collect()] == [("u2", ["A_fit"])]
+    with pytest.raises(Exception, match="no A_fit in"):
+        readers.key_value_texts(spark, str(tmp_path), ["A_fit"], ["A_fit"], strict=True).collect()
     assert rows(readers.curve_blocks(spark, str(tmp_path), "curve_raw"), "stem", "n") == [("u1", 4, 1.5), ("u1", 8, 2.5)]
 
 
@@ -81,3 +84,19 @@ def test_sinks(spark, tmp_path):
     assert readers.json_document(spark, str(tmp_path / "j"), "x int, y int").count() == 1
     files = readers.checksums(spark, str(tmp_path / "c"))
     assert files.where(F.length("sha256") == 64).count() == files.count() > 0
+
+
+def test_equal_stems_of_two_folders_stay_apart(spark, tmp_path):
+    for folder, value in (("a", "1"), ("b", "2")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "u.txt").write_text(f"k: {value}\nc:\n{value}: 5\n")
+    assert rows(readers.key_value_texts(spark, str(tmp_path / "*"), ["k"]), "k") == [("u", "1"), ("u", "2")]
+    assert rows(readers.curve_blocks(spark, str(tmp_path / "*"), "c"), "n") == [("u", 1, 5.0), ("u", 2, 5.0)]
+
+
+def test_changed_files(spark):
+    kind = "path string, length long, modificationTime timestamp"
+    at = [__import__("datetime").datetime(2030, 1, d) for d in (1, 2)]
+    source = spark.createDataFrame([("a", 1, at[0]), ("b", 2, at[0]), ("c", 3, at[1])], kind)
+    target = spark.createDataFrame([("a", 1, at[0]), ("b", 9, at[0]), ("c", 3, at[0])], kind)
+    assert rows(readers.changed_files(source, target).select("path"), "path") == [("b",), ("c",)]

@@ -48,28 +48,46 @@ def uid_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every file with their file stem and line number: stem, line_no, line."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), "value")
-    return files.select("stem", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """Lines of every file with their file, its stem and the line number: path, stem, line_no, line."""
+    name = F.input_file_name()
+    files = spark.read.text(path, wholetext=True).select(name.alias("path"), F.regexp_extract(name, r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), "value")
+    return files.select("path", "stem", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
-def key_value_texts(spark: SparkSession, path: str, keys: list[str], required: list[str] = ()) -> DataFrame:
-    """``key: value`` files as one row for each file stem; files without a required key are left out."""
-    lines = text_lines(spark, path)
+def _key_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     parts = F.split("line", ":", 2)
-    pairs = lines.select("stem", F.trim(F.get(parts, 0)).alias("k"), F.trim(F.get(parts, 1)).alias("v"))
-    out = pairs.groupBy("stem").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in keys))
+    pairs = text_lines(spark, path).select("path", "stem", F.trim(F.get(parts, 0)).alias("k"), F.trim(F.get(parts, 1)).alias("v"))
+    return pairs.groupBy("path", "stem").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in keys))
+
+
+def key_value_texts(spark: SparkSession, path: str, keys: list[str], required: list[str] = (), strict: bool = False) -> DataFrame:
+    """``key: value`` files as one row for each file: stem and the keys.
+
+    Files without a required key are left out (``missing_keys`` names them), or raise if ``strict``.
+    """
+    out = _key_values(spark, path, [*keys, *(k for k in required if k not in keys)])
     for k in required:
-        out = out.where(F.col(k).isNotNull())
-    return out
+        if strict:
+            absent = F.raise_error(F.concat(F.lit(f"no {k} in "), F.col("path")))
+            out = out.withColumn(k, F.when(F.col(k).isNotNull(), F.col(k)).otherwise(absent))
+        else:
+            out = out.where(F.col(k).isNotNull())
+    return out.select("stem", *keys)
+
+
+def missing_keys(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """Files that lack a required key: path, stem and the keys they lack."""
+    lacking = F.array_compact(F.array(*(F.when(F.col(k).isNull(), k) for k in required)))
+    return _key_values(spark, path, list(required)).select("path", "stem", lacking.alias("missing")).where(F.size("missing") > 0)
 
 
 def curve_blocks(spark: SparkSession, path: str, header: str) -> DataFrame:
     """``n: y`` lines below ``header:`` up to the first line that isn't one: stem, n, y."""
-    w = Window.partitionBy("stem").orderBy("line_no")
+    w = Window.partitionBy("path").orderBy("line_no")
     lines = text_lines(spark, path)
     parts = F.split("line", ":", 2)
     typed = lines.select(
+        "path",
         "stem",
         "line_no",
         (F.trim("line") == f"{header}:").alias("is_header"),
@@ -78,7 +96,7 @@ def curve_blocks(spark: SparkSession, path: str, header: str) -> DataFrame:
     )
     is_point = F.col("n").isNotNull() & F.col("y").isNotNull()
     begun = typed.withColumn("block", F.sum(F.col("is_header").cast("int")).over(w)).where("block > 0 and not is_header")
-    ended = F.max((~is_point).cast("int")).over(Window.partitionBy("stem", "block").orderBy("line_no"))
+    ended = F.max((~is_point).cast("int")).over(Window.partitionBy("path", "block").orderBy("line_no"))
     return begun.withColumn("ended", ended).where("ended = 0").select("stem", "n", "y")
 
 
@@ -90,7 +108,7 @@ def view_set(spark: SparkSession, path: str, radius: float = 1.0, normalise: boo
     good = (F.size(f) == 3) & xyz[0].isNotNull() & xyz[1].isNotNull() & xyz[2].isNotNull()
     checked = F.when(good, F.lit(radius)).otherwise(F.raise_error(F.concat(F.lit("not three numbers: "), F.col("line"))))
     size = F.sqrt(sum(c * c for c in xyz)) if normalise else F.lit(1.0)
-    view = F.row_number().over(Window.partitionBy("stem").orderBy("line_no")) - 1
+    view = F.row_number().over(Window.partitionBy("path").orderBy("line_no")) - 1
     return lines.select("stem", view.alias("view_id"), *((c * checked / size).alias(n) for n, c in zip("xyz", xyz, strict=True)))
 
 
@@ -117,12 +135,13 @@ def small_text_files(spark: SparkSession, root: str) -> DataFrame:
 def obj_counts(spark: SparkSession, path: str) -> DataFrame:
     """Vertices, faces, and whether there are texture and normal lines, for each OBJ file."""
     starts = lambda p: F.col("line").startswith(p)
-    return text_lines(spark, path).groupBy("stem").agg(
+    counts = text_lines(spark, path).groupBy("path", "stem").agg(
         F.count_if(starts("v ")).alias("n_vertices"),
         F.count_if(starts("f ")).alias("n_faces"),
         F.bool_or(starts("vt ")).alias("has_texture"),
         F.bool_or(starts("vn ")).alias("has_normals"),
     )
+    return counts.drop("path")
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
