@@ -35,6 +35,17 @@ def geometry_columns(annotations: DataFrame) -> DataFrame:
     )
 
 
+def box_measures(annotations: DataFrame) -> DataFrame:
+    """Measures against the bounding box: extents in descending order, ratios of area and volume, log area ratio, signed Euler norm."""
+    sides = F.sort_array(F.transform("bbox_extent", number), asc=False)
+    df = annotations.withColumns({f"e{i + 1}": F.get(sides, i) for i in range(3)})
+    area, volume = F.when(number(F.col("area")) >= 0, number(F.col("area"))), F.abs(number(F.col("volume")))
+    surface = 2 * (F.col("e1") * F.col("e2") + F.col("e1") * F.col("e3") + F.col("e2") * F.col("e3"))
+    df = df.withColumns({"bbox_area_ratio": ratio(area, surface), "bbox_volume_ratio": ratio(volume, F.col("e1") * F.col("e2") * F.col("e3"))})
+    faces = F.log1p(F.greatest(F.col("face_count"), F.lit(0)).cast("double"))
+    return df.withColumns({"log_bbox_area_ratio": F.log1p("bbox_area_ratio"), "euler_signed_norm": ratio(F.col("euler_number").cast("double"), faces)})
+
+
 def below_or_missing(c: Column, least: float) -> Column:
     """A minimum check that a missing value fails."""
     return c.isNull() | (c < least)

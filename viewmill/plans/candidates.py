@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from viewmill.functions.scalar import error_word, label, number, overlap_quality, sigmoid
 from viewmill.operators.aggregates import five_numbers_by_sets, null_safe
 from viewmill.operators.cover import argmax_within, greedy_cover, marginal_gain
-from viewmill.operators.filters import keep_columns, retry_reason
+from viewmill.operators.filters import box_measures, keep_columns, retry_reason
 from viewmill.operators.geometry import (
     back_projected,
     covered_points,
@@ -54,6 +54,12 @@ def kept_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_columns(table(spark, sf_dir, "split_members"), ["member_id", "uid", "no_such_column", "area", "volume"], {"uid": "object_uid"})
 
 
+def derived_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box measures of each annotation."""
+    names = ("e1", "e2", "e3", "bbox_area_ratio", "bbox_volume_ratio", "log_bbox_area_ratio", "euler_signed_norm")
+    return box_measures(table(spark, sf_dir, "annotations")).select("row_id", *(F.round(c, 7).alias(c) for c in names))
+
+
 def novel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each view that no point of the object's first view equals within a tolerance in each coordinate."""
     points = cache_points(spark, sf_dir)
@@ -257,7 +263,7 @@ def inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    retry_list, retry_all, kept_fields, novel_points, point_radius, non_terminal, clipped_points, reviewed, three_way, unmatched_uids, restored,
+    retry_list, retry_all, kept_fields, derived_geometry, novel_points, point_radius, non_terminal, clipped_points, reviewed, three_way, unmatched_uids, restored,
     stats_all_groupings, case_union, b_ceil, voxel_offsets, depth_points, random_then_path, precovered_path, one_step_gain, boundary_scores,
     plan_cursor, checkpoint_metrics, near_frontier, dense_cells, inliers,
 )}
@@ -280,6 +286,12 @@ SQL = {
 WHEN regexp_matches(e, 'empty (scene|mesh)$') THEN 'matches=empty (scene|mesh)$' END AS reason FROM (SELECT row_id, {_WORD} AS e FROM annotations) WHERE reason IS NOT NULL""",
     "retry_all": f"""SELECT CASE WHEN e IS NOT NULL THEN 'all_failed' WHEN NOT coalesce(load_ok, false) THEN 'not_loaded' END AS reason, count(*) AS n
 FROM (SELECT load_ok, {_WORD} AS e FROM annotations) GROUP BY 1""",
+    "derived_geometry": """WITH b AS (SELECT *, list_sort([CASE WHEN isfinite(v) THEN v END for v in bbox_extent], 'DESC', 'NULLS LAST') AS e FROM annotations),
+c AS (SELECT *, e[1] AS e1, e[2] AS e2, e[3] AS e3, CASE WHEN isfinite(area) AND area >= 0 THEN area END AS ar, CASE WHEN isfinite(volume) THEN abs(volume) END AS vo FROM b),
+d AS (SELECT *, 2 * (e1 * e2 + e1 * e3 + e2 * e3) AS su, e1 * e2 * e3 AS bv, ln(1 + greatest(face_count, 0)::DOUBLE) AS lf FROM c),
+r AS (SELECT *, CASE WHEN su > 1e-12 THEN ar / su END AS ra, CASE WHEN bv > 1e-12 THEN vo / bv END AS rv FROM d)
+SELECT row_id, round(e1, 7) AS e1, round(e2, 7) AS e2, round(e3, 7) AS e3, round(ra, 7) AS bbox_area_ratio, round(rv, 7) AS bbox_volume_ratio, round(ln(1 + ra), 7) AS log_bbox_area_ratio,
+round(CASE WHEN lf > 1e-12 THEN euler_number / lf END, 7) AS euler_signed_norm FROM r""",
     "kept_fields": "SELECT member_id, uid AS object_uid, area, volume FROM split_members",
     "novel_points": POINTS_SQL + f""", fv AS (SELECT obj, min(view_number) AS v FROM points GROUP BY 1), b AS (SELECT p.obj, x, y, z FROM points p JOIN fv ON p.obj = fv.obj AND p.view_number = fv.v)
 SELECT p.obj, p.view_number, count(*) AS n_new FROM points p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.obj = p.obj AND abs(b.x - p.x) <= {NEAR}::DOUBLE AND abs(b.y - p.y) <= {NEAR}::DOUBLE AND abs(b.z - p.z) <= {NEAR}::DOUBLE) GROUP BY ALL""",
