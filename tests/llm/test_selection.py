@@ -183,3 +183,27 @@ def test_a_day_is_added_without_the_values_of_the_old_ones(spark):
         assert r.n == exact[key].n == 1200 and r.low <= exact[key].low <= r.high and r.high - r.low <= abs(r.high) * 2.0**-19
     twice = {(r.g, r.pct): r.n for r in p.percentiles_of_parts(p.merged_parts([kept, kept, new], ["g"], ["day"]), ["g"], pcts).collect()}
     assert set(twice.values()) == {2100}
+
+
+def test_cut_lists_give_the_same_items(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        k = rng.randint(0, 12)
+        ids = [rng.choice([*range(9), None]) for _ in range(k)] if i % 3 else rng.sample(range(20), k)
+        gains = [rng.choice([-1, 0, 1, 2, 3, 50, None]) for _ in range(k + rng.randint(-1, 1) if k else 0)]
+        rows.append((rng.choice(["a", " A", "b", None]), rng.randint(0, 5), 0, rng.randint(0, 3), rng.choice([3, 100, None]), ids, gains))
+    df = spark.createDataFrame(rows, "uid string, run_id long, start_view_id int, step_id int, universe_voxel_count int, candidate_view_ids array<int>, candidate_marginal_gains array<int>")
+    items = {}
+    for uid, run, start, step, size, ids, gains in rows:
+        for c, g in zip(ids, gains, strict=False):
+            if uid and c is not None and g is not None and g >= 0 and (size is None or g <= size):
+                key = (uid.strip().lower(), run, start, step, c)
+                items[key] = max(g, items.get(key, 0))
+    for n in (1, 3, 10):
+        want = []
+        for uid in ("a", "b"):
+            of = sorted((-g, *k[1:]) for k, g in items.items() if k[0] == uid)[:n]
+            want += [(uid, i + 1, *x[1:]) for i, x in enumerate(of)]
+        got = [(r.uid, r.item_rank, r.run_id, r.start_view_id, r.step_id, r.candidate_view_id) for r in topn.top_candidates(df, n).collect()]
+        assert sorted(got) == want

@@ -21,11 +21,24 @@ from viewmill.operators.positions import positions
 from viewmill.session import clean_key
 
 
-def candidate_items(steps: DataFrame) -> DataFrame:
+def within_reach(rows: DataFrame, n: int) -> DataFrame:
+    """The rows' ``pairs`` without those that can't be among the first ``n`` of their uid.
+
+    A pair with a smaller gain than ``n`` others of its list stays behind those others, whatever the other lists
+    hold. Ties of the n-th stay, and so does a whole list in which an id stands twice.
+    """
+    valid = F.filter("pairs", lambda p: p["id"].isNotNull() & (p["gain"] >= 0) & F.coalesce(p["gain"] <= F.col("universe_voxel_count"), F.lit(True)))
+    rows = rows.withColumn("pairs", valid).where(F.size("pairs") > 0)
+    once = F.size(F.array_distinct("pairs.id")) == F.size("pairs")
+    cut = F.when(once, F.get(F.sort_array("pairs.gain", asc=False), n - 1))
+    return rows.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("pairs", F.filter("pairs", lambda p: p["gain"] >= F.col("cut")))
+
+
+def candidate_items(steps: DataFrame, n: int | None = None) -> DataFrame:
     """Items (run_id, start_view_id, step_id, candidate_view_id) of each uid with their largest valid gain.
 
-    The lists are shuffled as they are, by step; after exploding them, the grouping by item needs no
-    further shuffle.
+    With ``n`` lists are first cut to what can be among the first ``n`` of their uid. They are shuffled as
+    lists, by step; after exploding them, the grouping by item needs no further shuffle.
     """
     step = ["uid", "run_id", "start_view_id", "step_id"]
     rows = steps.select(
@@ -34,6 +47,8 @@ def candidate_items(steps: DataFrame) -> DataFrame:
         "universe_voxel_count",
         F.arrays_zip(F.col("candidate_view_ids").alias("id"), F.col("candidate_marginal_gains").alias("gain")).alias("pairs"),
     ).where("uid is not null")
+    if n is not None:
+        rows = within_reach(rows, n)
     pairs = rows.repartition(*step).select(*step, "universe_voxel_count", F.explode("pairs").alias("p"))
     valid = pairs.where("p.id is not null and p.gain >= 0 and coalesce(p.gain <= universe_voxel_count, true)")
     return valid.groupBy(*step, F.col("p.id").alias("candidate_view_id")).agg(F.max("p.gain").alias("gain"))
@@ -41,6 +56,6 @@ def candidate_items(steps: DataFrame) -> DataFrame:
 
 def top_candidates(steps: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` candidate views of each object with the largest marginal gains."""
-    items = candidate_items(steps)
+    items = candidate_items(steps, n)
     order = [F.desc("gain"), *(F.asc(c) for c in ("run_id", "start_view_id", "step_id", "candidate_view_id"))]
     return positions(items, ["uid"], order, n)
