@@ -14,31 +14,34 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewmill.operators.positions import positions
 from viewmill.session import clean_key
 
 
-def within_reach(rows: DataFrame, n: int) -> DataFrame:
-    """The rows' ``pairs`` without those that can't be among the first ``n`` of their uid.
+def is_valid(pair: Column) -> Column:
+    """A pair with an id, and a gain from 0 to the row's voxels."""
+    return pair["id"].isNotNull() & (pair["gain"] >= 0) & F.coalesce(pair["gain"] <= F.col("universe_voxel_count"), F.lit(True))
+
+
+def least_gain(n: int) -> Column:
+    """The gain that a pair of a row's list needs to be among the first ``n`` of its uid.
 
     A pair with a smaller gain than ``n`` others of its list stays behind those others, whatever the other lists
     hold. Ties of the n-th stay, and so does a whole list in which an id stands twice.
     """
-    valid = F.filter("pairs", lambda p: p["id"].isNotNull() & (p["gain"] >= 0) & F.coalesce(p["gain"] <= F.col("universe_voxel_count"), F.lit(True)))
-    rows = rows.withColumn("pairs", valid).where(F.size("pairs") > 0)
     once = F.size(F.array_distinct("pairs.id")) == F.size("pairs")
-    cut = F.when(once, F.get(F.sort_array("pairs.gain", asc=False), n - 1))
-    return rows.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("pairs", F.filter("pairs", lambda p: p["gain"] >= F.col("cut")))
+    gains = F.sort_array(F.transform("pairs", lambda p: F.when(is_valid(p), p["gain"])), asc=False)
+    return F.coalesce(F.when(once, F.get(gains, n - 1)), F.lit(0))
 
 
 def candidate_items(steps: DataFrame, n: int | None = None) -> DataFrame:
     """Items (run_id, start_view_id, step_id, candidate_view_id) of each uid with their largest valid gain.
 
-    With ``n`` lists are first cut to what can be among the first ``n`` of their uid. They are shuffled as
-    lists, by step; after exploding them, the grouping by item needs no further shuffle.
+    The lists are shuffled as they are, by step; after exploding them, the grouping by item needs no further
+    shuffle. With ``n`` only items are kept that can be among the first ``n`` of their uid.
     """
     step = ["uid", "run_id", "start_view_id", "step_id"]
     rows = steps.select(
@@ -47,10 +50,9 @@ def candidate_items(steps: DataFrame, n: int | None = None) -> DataFrame:
         "universe_voxel_count",
         F.arrays_zip(F.col("candidate_view_ids").alias("id"), F.col("candidate_marginal_gains").alias("gain")).alias("pairs"),
     ).where("uid is not null")
-    if n is not None:
-        rows = within_reach(rows, n)
-    pairs = rows.repartition(*step).select(*step, "universe_voxel_count", F.explode("pairs").alias("p"))
-    valid = pairs.where("p.id is not null and p.gain >= 0 and coalesce(p.gain <= universe_voxel_count, true)")
+    rows = rows.withColumn("least", F.lit(0) if n is None else least_gain(n))
+    pairs = rows.repartition(*step).select(*step, "universe_voxel_count", "least", F.explode("pairs").alias("p"))
+    valid = pairs.where(is_valid(F.col("p")) & (F.col("p.gain") >= F.col("least")))
     return valid.groupBy(*step, F.col("p.id").alias("candidate_view_id")).agg(F.max("p.gain").alias("gain"))
 
 
